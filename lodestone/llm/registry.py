@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat, decontaminate, licences, sharding, simhash
+from lodestone.llm import chat, decontaminate, licences, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_simhash": simhash.op3_simhash,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_license_scan": licences.op5_license_scan,
     "op8_sharding": sharding.op8_sharding,
     "op9_chat_formatting": chat.op9_chat_formatting,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.OP1_SQL, "op5_license_scan": licences.op5_sql(), "op9_chat_formatting": chat.OP9_SQL}
