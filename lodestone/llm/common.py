@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +34,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a Parquet table in the shared folder, which the JVM deletes as it ends.
+
+    Unlike a checkpointed plan, whose size estimate multiplies through every join of a loop, the table has its own
+    size, so later joins are planned by what is really there.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_below(df: DataFrame, max_rows: int) -> DataFrame:
@@ -52,3 +62,8 @@ def ascii_lower(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Words between ASCII white space; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_SEPARATORS), lambda w: w != F.lit(""))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver's cleaner drop shuffle files of finished steps now; it acts on the JVM's garbage collection."""
+    spark.sparkContext._jvm.System.gc()

@@ -27,7 +27,7 @@ def _kgrams(w: str, k: int) -> Column:
 def _minima(kg: str, width: int) -> Column:
     """The distinct minima of each window of `width` k-gram hashes: winnowing."""
     last = F.size(kg) - width
-    low = lambda i: F.least(*(F.get(kg, i + d) for d in range(width)))
+    low = lambda i: F.least(*(F.get(kg, i + d) for d in range(width))) if width > 1 else F.get(kg, i)
     return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), low))).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -77,10 +77,12 @@ def digest(squeezed: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, licence, length) of licence texts and notices; by default those of this module. length: squeezed."""
+    """(digest, licence, length, head) of licence texts and notices; by default those of this module. length: squeezed. head: the
+    first canonical word."""
     known = texts if texts is not None else {k: [*NOTICES.get(k, []), *([TEXTS[k]] if k in TEXTS else [])] for k in {**NOTICES, **TEXTS}}
     rows = spark.createDataFrame([(k, t) for k, ts in known.items() for t in ts], "licence string, text string")
-    return rows.select(digest(squeeze(F.col("text"))).alias("digest"), "licence", F.length(squeeze(F.col("text"))).alias("length")).distinct()
+    flat = squeeze(F.col("text"))
+    return rows.select(digest(flat).alias("digest"), "licence", F.length(flat).alias("length"), F.substring_index(respell(flat), " ", 1).alias("head")).distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -88,14 +90,17 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     comma-joined), whole_licence (the id that the entire text is, else null).
 
     An entire text, or an entire line of one, counts if its canonical digest is known. Canonical text shrinks or grows
-    by respelling less than threefold, so only units of up to three times the longest known text are hashed. Null and
+    by respelling less than threefold, so only units of up to three times the longest known text are hashed, and only
+    those that begin with the first word of a known text or another spelling of it. Null and
     empty texts match nothing. Repeated rows stay; other columns play no part; no rows give no rows.
     The known table is a fixed list of a few dozen rows; it is broadcast if Spark's own size check allows it.
     """
-    longest = known.agg(F.max("length")).first()[0] or 0
+    ends = known.agg(F.max("length"), F.collect_set("head")).first()  # of the fixed list
+    longest, heads = ends[0] or 0, set(ends[1])
+    heads |= {a for a, b in SPELLINGS.items() if b.split(" ")[0] in heads}
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    flat = base.select("doc_id", "text_hash", squeeze(F.col("text")).alias("s"))
-    fits = lambda u: (F.length(F.trim(u)) > 0) & (F.length(F.trim(u)) <= 3 * longest)
+    flat = base.select("doc_id", "text_hash", F.ltrim(squeeze(F.col("text"))).alias("s"))
+    fits = lambda u: F.substring_index(F.ltrim(u), " ", 1).isin(*heads) & (F.length(u) <= 3 * longest)
     lines = F.filter(F.split("s", "\n"), fits)
     whole = F.filter(F.array(F.regexp_replace("s", "[ \n]+", " ")), fits)
     units = flat.select("doc_id", "text_hash", F.explode(F.concat(F.transform(whole, lambda u: F.struct(u.alias("u"), F.lit(True).alias("whole"))), F.transform(lines, lambda u: F.struct(u.alias("u"), F.lit(False).alias("whole"))))).alias("e"))

@@ -14,26 +14,27 @@ BITS = 64
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, text_hash, fp): SimHash of the XXH64 hashes (seed 42) of all word shingles, repeats included.
+    """(doc_id, text_hash, times, fp): SimHash of the XXH64 hashes (seed 42) of all word shingles, repeats included.
 
     A text with fewer words than a shingle is one shingle; null and empty texts, and texts of white space, have the
-    fingerprint zero. Rows that repeat (doc_id, text) count once more, which changes no majority; they give one row.
+    fingerprint zero. Rows that repeat (doc_id, text) count once more, which changes no majority; they give one row, and
+    times says how many they are.
     """
     words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(ascii_lower(F.col("text"))).alias("w"))
     w = F.col("w")
     n = F.size(w)
     slid = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get(w, i + k) for k in range(shingle)))))
     hashes = F.when(n == 0, F.array().cast("array<bigint>")).when(n < shingle, F.array(F.xxhash64(F.concat_ws(" ", w)))).otherwise(slid)
-    rows = words.select("doc_id", "text_hash", F.explode_outer(hashes).alias("h"))
+    rows = words.select("doc_id", "text_hash", F.posexplode_outer(hashes).alias("i", "h"))
     # Two 32-bit lanes in each sum: bits k and k + 32.
     lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit((1 << 32) | 1))).alias(f"s{k}") for k in range(32)]
-    summed = rows.groupBy("doc_id", "text_hash").agg(F.count("h").alias("n"), *lanes)
+    summed = rows.groupBy("doc_id", "text_hash").agg(F.count("h").alias("n"), F.count(F.when(F.coalesce("i", F.lit(0)) == 0, 1)).alias("times"), *lanes)
     fp = F.lit(0).cast("bigint")
     for bit in range(BITS):
         lane = F.col(f"s{bit % 32}")
         ones = lane.bitwiseAND(F.lit(0xFFFFFFFF)) if bit < 32 else F.shiftrightunsigned(lane, 32)
         fp = fp.bitwiseOR(F.when(2 * ones > F.col("n"), F.lit((1 << bit) - (1 << 64 if bit == 63 else 0)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return summed.select("doc_id", "text_hash", fp.alias("fp"))
+    return summed.select("doc_id", "text_hash", "times", fp.alias("fp"))
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -75,6 +76,17 @@ def link_components(fps: DataFrame, distance: int = 3, blocks: int = 6) -> DataF
     return final.select("fp", F.coalesce("c2", "c").alias("component"))
 
 
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
+    """(doc_id, text_hash, times, fp, component_id, n_links) of every different (doc_id, text); times: its rows."""
+    prints = checkpoint(fingerprints(docs, shingle))
+    kinds = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.sum("times").alias("copies"))
+    groups = link_components(checkpoint(prints.select("fp").distinct()), distance, blocks)
+    named = checkpoint(kinds.join(groups, "fp"))
+    ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    out = named.join(ids, "component").select("fp", "component_id", (F.col("copies") - 1).alias("n_links"))
+    return prints.join(out, "fp")
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), n_links.
 
@@ -82,16 +94,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, blo
     part; a component of nothing else has a null id. An empty table gives an empty result. Repeated rows stay.
     Other columns of the table play no part.
     """
-    prints = checkpoint(fingerprints(docs, shingle))
-    kinds = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    groups = link_components(prints.select("fp").distinct(), distance, blocks)
-    named = checkpoint(kinds.join(groups, "fp"))
-    ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    out = named.join(ids, "component").select("fp", "component_id", "copies")
-    once = prints.join(out, "fp").select("doc_id", "text_hash", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", (F.col("copies") - 1).alias("n_links"))
-    every = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
-    joined = once.join(every, once.doc_id.eqNullSafe(every.doc_id) & (once.text_hash == every.text_hash))
-    return joined.select(once.doc_id, "fingerprint", "component_id", "n_links", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_t")).drop("_t")
+    rows = near_duplicates(docs, shingle, distance, blocks)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_t")).drop("_t")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
