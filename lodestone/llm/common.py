@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,5 +67,11 @@ def words_of(text: Column) -> Column:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver's cleaner drop shuffle files of finished steps now; it acts on the JVM's garbage collection."""
-    spark.sparkContext._jvm.System.gc()
+    """Let the driver's cleaner drop shuffle files of finished steps now, not whenever the driver collects garbage.
+
+    Python lets go of its handles first; the cleaner follows the JVM's collection.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
