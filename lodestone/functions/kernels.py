@@ -187,7 +187,7 @@ def graph_level(tag: str, key: Column, multiplier: float) -> Column:
 
 def split_items(text: Column) -> Column:
     """Comma-separated items, trimmed; those empty before trimming are dropped."""
-    return F.transform(F.filter(F.split(text, ","), lambda x: x != ""), F.trim)
+    return F.transform(F.filter(F.split(text, ","), lambda x: x != F.lit("")), lambda x: F.trim(x))
 
 
 def sequence_number(name: Column) -> Column:

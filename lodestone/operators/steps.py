@@ -115,11 +115,11 @@ def two_hop(edges: DataFrame) -> DataFrame:
 
 
 def greedy_step(frontier: DataFrame, edges: DataFrame, items: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """(query_id, at, distance): each query moves to the nearest of its vertex and that vertex's neighbours."""
-    near = frontier.join(edges.select(F.col("src").alias("at"), "dst"), "at").select("query_id", "vector", F.col("dst").alias("at"))
-    both = frontier.select("query_id", "vector", "at").union(near).join(items.select(F.col("id").alias("at"), F.col("vector").alias("x")), "at")
-    d = both.select("query_id", "at", space(metric)(F.col("vector"), F.col("x")).alias("distance"))
-    return d.selectExpr("*", "row_number() over (partition by query_id order by distance, at) as r").where("r = 1").drop("r")
+    """(query_id, vertex, distance): each query moves to the nearest of its vertex and that vertex's neighbours."""
+    near = frontier.join(edges.select(F.col("src").alias("vertex"), "dst"), "vertex").select("query_id", "vector", F.col("dst").alias("vertex"))
+    both = frontier.select("query_id", "vector", "vertex").union(near).join(items.select(F.col("id").alias("vertex"), F.col("vector").alias("x")), "vertex")
+    d = both.select("query_id", "vertex", space(metric)(F.col("vector"), F.col("x")).alias("distance"))
+    return d.selectExpr("*", "row_number() over (partition by query_id order by distance, vertex) as r").where("r = 1").drop("r")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
