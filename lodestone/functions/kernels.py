@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,8 +143,6 @@ def near_cell(distance: Column, nearest: Column) -> Column:
 
 def big_endian_floats(data: Column) -> Column:
     """Floats of a binary column of 4-byte big-endian numbers; Spark has no such function, so an Arrow UDF reads them."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def read(s: pd.Series) -> pd.Series:
         import numpy as np

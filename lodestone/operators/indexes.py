@@ -149,12 +149,12 @@ class CellTree:
         return (means[used], cell) if len(used) > 1 else None
 
     def candidates(self, s: dict, q: np.ndarray, k: int) -> np.ndarray:
-        """Items of the nearest cells first, and of those within a tenth of the nearest, up to the cap."""
+        """Items of the nearest cells and of those within a tenth of the nearest, then of the others, up to the cap."""
         breadth = max(1, self.split_factor // 5)
-        most = self.max_candidates or breadth * self.max_cell_items
-        todo, seen, n = [0], [], 0
-        while todo and n < max(most, k):
-            at = todo.pop()
+        most = max(k, self.max_candidates or breadth * self.max_cell_items)
+        todo, seen, n = [(False, 0.0, 0)], [], 0
+        while todo and n < most:
+            later, _, at = heapq.heappop(todo)
             if s["first"][at] < 0:
                 seen.append(s["rows"][s["row_ends"][at - 1] if at else 0 : s["row_ends"][at]])
                 n += len(seen[-1])
@@ -162,8 +162,9 @@ class CellTree:
             kids = np.arange(s["first"][at], s["last"][at])
             d = distances(s["_metric"], q[None], s["centroids"][kids])[0]
             order = np.argsort(d, kind="stable")
-            near = [i for r, i in enumerate(order) if r < breadth or (d[order[0]] > 0 and (d[i] - d[order[0]]) / d[order[0]] < 0.1)]
-            todo += [int(kids[i]) for i in reversed(near)]
+            for r, i in enumerate(order):
+                near = r < breadth or (d[order[0]] > 0 and (d[i] - d[order[0]]) / d[order[0]] < 0.1)
+                heapq.heappush(todo, (bool(later or not near), float(d[i]), int(kids[i])))
         return np.concatenate(seen) if seen else np.zeros(0, int)
 
 

@@ -140,7 +140,7 @@ def test_knn(spark, points):
     assert metrics[::2] == metrics[1::2]
 
 
-@pytest.mark.parametrize("config", [Forest(12, 16), CellTree(5, 40), CellTree(3, 40), Graph(8, ef=60), Graph(8, ef=60, select="diverse"), Graph(8, ef=60, select="heuristic")])
+@pytest.mark.parametrize("config", [Forest(12, 16), CellTree(5, 40, max_candidates=120), CellTree(3, 40, max_candidates=120), Graph(8, ef=60), Graph(8, ef=60, select="diverse"), Graph(8, ef=60, select="heuristic")])
 def test_indexes(spark, points, tmp_path, config):
     rows, df = points
     base, q = df.where("id >= 50"), df.where("id < 50").select(F.col("id").alias("query_id"), "vector")
