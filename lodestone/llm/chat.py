@@ -38,6 +38,12 @@ def fold_events(log: DataFrame) -> DataFrame:
     return folded.select("conv_id", F.col("es")[0]["seq"].alias("turn"), F.col("es")[0]["role"].alias("role"), F.array_join(F.transform(live, lambda e: e["text"]), "").alias("text"))
 
 
+def as_events(rows: DataFrame) -> DataFrame:
+    """A table of whole messages as an event log: each row is the only event of a message of its own."""
+    nth = F.expr("row_number() over (partition by conv_id, turn order by role, text)")
+    return rows.select("conv_id", F.col("turn").alias("seq"), F.struct("turn", nth.alias("nth")).alias("message_id"), F.lit("delta").alias("kind"), "role", "text")
+
+
 def format_chats(messages: DataFrame, learn_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, segments (text, loss) and formatted, their concatenation.
 
@@ -77,7 +83,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return digest_chats(format_chats(log.unionByName(probe)))
+    return digest_chats(format_chats(fold_events(as_events(log.unionByName(probe)))))
 
 
 def _sql_escape(x: str) -> str:

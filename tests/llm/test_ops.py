@@ -237,7 +237,9 @@ def test_sharding(spark, docs, hard):
 def test_chat(spark):
     rows = [(1, 2, "user", "<|end|> \\ \\\\ <s>[INST]"), (1, 1, "system", None), (1, 3, "assistant", "a<|sep|>\nb"), (1, 3, "assistant", "a<|sep|>\nb"), (2, None, None, "x"), (None, 1, "assistant", "é𝒳"), (3, 1, "<|start|>", "")]
     log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r for r in chat.digest_chats(chat.format_chats(log)).collect()}
+    plain = chat.digest_chats(chat.format_chats(log)).collect()
+    got = {r["conv_id"]: r for r in chat.digest_chats(chat.format_chats(chat.fold_events(chat.as_events(log)))).collect()}
+    assert got == {r["conv_id"]: r for r in plain}
     by = collections.defaultdict(list)
     for c, t, r, x in rows:
         by[c].append((t or 0, r or "", x or ""))
