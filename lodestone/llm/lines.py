@@ -59,47 +59,46 @@ def counts_apart(a: Column, b: Column) -> Column:
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Is the edit distance of two lines of code points `edits` at most? Bit-parallel, in a band of the matrix.
 
-    One step for each code point of b keeps the vertical differences of 2 * edits + 1 rows about the diagonal as bits.
+    a is no shorter than b, and b is longer than edits. One step for each code point of b keeps the vertical differences
+    of 2 * edits + 1 rows about the diagonal as bits. Arrays and steps' results are bound as variables of lambdas, so
+    that no rewriting of the plan computes them more than once.
     """
     width = 2 * edits + 1
     mask, top = (1 << width) - 1, 1 << (width - 1)
-    x, y = F.split(a, ""), F.split(b, "")
-    m, n = F.length(a), F.length(b)
     big = lambda v: F.lit(v).cast("bigint")
-    state = lambda vp, vn, d, s: F.struct(vp.alias("vp"), vn.alias("vn"), d.alias("d"), s.alias("s"))
+    bind = lambda value, f: F.transform(F.array(value), f)[0]
 
-    def step(st: Column, j: Column) -> Column:
+    def step(e: Column, st: Column, j: Column) -> Column:
         match = big(0)
         for k in range(width):
-            match = match.bitwiseOR(F.when(F.coalesce(F.get("x", j - edits + k) == F.get("y", j), F.lit(False)), big(1 << k)).otherwise(big(0)))
-        return F.transform(F.array(match), lambda e: _advance(st, e, j))[0]
-
-    def _advance(st: Column, eq: Column, j: Column) -> Column:
+            same = F.coalesce(F.get(e["x"], j - edits + k) == F.get(e["y"], j), F.lit(False))
+            match = match.bitwiseOR(F.when(same, big(1 << k)).otherwise(big(0)))
         vp, vn = st["vp"], st["vn"]
-        d0 = ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(F.lit(mask))
-        return F.transform(F.array(d0), lambda d: _finish(st, d, j))[0]
+        d0 = lambda eq: ((eq.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(F.lit(mask))
+        return bind(match, lambda eq: bind(d0(eq), lambda d: finish(e, st, d, j)))
 
-    def _finish(st: Column, d0: Column, j: Column) -> Column:
+    def finish(e: Column, st: Column, d0: Column, j: Column) -> Column:
         vp, vn = st["vp"], st["vn"]
         hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp)).bitwiseAND(F.lit(mask)))
         hn = d0.bitwiseAND(vp)
-        diagonal = j < F.col("m") - edits
-        along = F.when(d0.bitwiseAND(F.lit(top)) != 0, 0).otherwise(1)
+        diagonal = j < e["m"] - edits
+        down = F.when(d0.bitwiseAND(F.lit(top)) != 0, 0).otherwise(1)
         bit = lambda h: F.call_function("shiftrightunsigned", h, width - 2 - st["s"]).bitwiseAND(F.lit(1))
-        at = bit(hp) - bit(hn)
-        dist = st["d"] + F.when(diagonal, along).otherwise(at.cast("int"))
+        dist = st["d"] + F.when(diagonal, down).otherwise((bit(hp) - bit(hn)).cast("int"))
         moved = F.shiftrightunsigned(d0, 1)
         vp2 = hn.bitwiseOR(F.bitwise_not(moved.bitwiseOR(hp)).bitwiseAND(F.lit(mask)))
-        return state(vp2, moved.bitwiseAND(hp), dist, st["s"] + F.when(diagonal, 0).otherwise(1))
+        return F.struct(vp2.alias("vp"), moved.bitwiseAND(hp).alias("vn"), dist.alias("d"), (st["s"] + F.when(diagonal, 0).otherwise(1)).alias("s"))
 
-    first = state(big(mask ^ ((1 << edits) - 1)), big(0), F.lit(edits), F.lit(0))
-    return x, y, m, n, F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), first, step, lambda st: st["d"] <= edits)
+    first = F.struct(big(mask ^ ((1 << edits) - 1)).alias("vp"), big(0).alias("vn"), F.lit(edits).alias("d"), F.lit(0).alias("s"))
+    both = F.struct(F.length(a).alias("m"), F.split(a, "").alias("x"), F.split(b, "").alias("y"))
+    walk = lambda e: F.aggregate(F.sequence(F.lit(0), F.size(e["y"]) - 1), first, lambda st, j: step(e, st, j), lambda st: st["d"] <= edits)
+    return bind(both, walk)
 
 
 def verified(pairs: DataFrame, edits: int) -> DataFrame:
     """Rows of (a, b, longer, shorter, ...) whose lines are within `edits`; both have more code points than that."""
-    x, y, m, n, test = within_edits(F.col("longer"), F.col("shorter"), edits)
-    return pairs.withColumns({"x": x, "y": y, "m": m, "n": n}).where(F.abs(F.col("m") - F.col("n")) <= edits).where(test).drop("x", "y", "m", "n")
+    near_length = F.length("longer") - F.length("shorter") <= edits
+    return pairs.where(F.when(near_length, within_edits(F.col("longer"), F.col("shorter"), edits)).otherwise(False))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -132,6 +131,8 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     facing = pairs.join(one, "a").join(two, "b")
     swap = F.length("x_line") < F.length("y_line")
     facing = facing.select("a", "a2", "b", "b2", F.when(swap, F.col("y_line")).otherwise(F.col("x_line")).alias("longer"), F.when(swap, F.col("x_line")).otherwise(F.col("y_line")).alias("shorter"))
+    # Few rows and much work for each: dealt out by number, which no size estimate undoes.
+    facing = facing.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
     near = checkpoint(verified(facing, edits).select("a", "a2", "b", "b2"))
     firsts = kinds.select("h1", "h2", "first")
     fa, fb = firsts.toDF("a", "a2", "fa"), firsts.toDF("b", "b2", "fb")
