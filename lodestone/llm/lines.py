@@ -9,8 +9,8 @@ from lodestone.llm.common import broadcast_below, checkpoint, read_table
 
 #: Lines link at this many edits of code points or fewer, if they have LEAST code points; shorter ones if they are equal.
 EDITS, LEAST = 2, 40
-#: Letters whose numbers, modulo 32, are compared before two lines are: an edit changes two of them by one at most.
-LETTERS = "entaiorsdhlu"
+#: Letters whose numbers, modulo 4, are compared before two lines are: an edit changes two of them by one at most.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Tables of line or document numbers are broadcast up to so many rows (about 60 MB), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,7 +43,7 @@ def letter_counts(line: Column) -> Column:
     total = F.lit(0).cast("bigint")
     for i, c in enumerate(LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        total = total + F.shiftleft(F.pmod(n, F.lit(32)).cast("bigint"), 5 * i)
+        total = total + F.shiftleft(F.pmod(n, F.lit(4)).cast("bigint"), 2 * i)
     return total
 
 
@@ -51,11 +51,18 @@ def counts_apart(a: Column, b: Column) -> Column:
     """A lower bound of the sum of differences of two lines' letter counts."""
     total = F.lit(0)
     for i in range(len(LETTERS)):
-        d = F.pmod((F.shiftright(a, 5 * i).bitwiseAND(F.lit(31)) - F.shiftright(b, 5 * i).bitwiseAND(F.lit(31))).cast("int"), F.lit(32))
-        total = total + F.least(d, 32 - d)
+        d = F.pmod((F.shiftright(a, 2 * i).bitwiseAND(F.lit(3)) - F.shiftright(b, 2 * i).bitwiseAND(F.lit(3))).cast("int"), F.lit(4))
+        total = total + F.least(d, 4 - d)
     return total
 
 
+def pair_bits(line: Column) -> Column:
+    """64 parities of hashed pairs of neighbouring characters: an edit changes four of them at most."""
+    flip = lambda x, i: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(F.get(x, i), F.get(x, i + 1)), F.lit(64)).cast("int"))
+    walk = lambda x: F.aggregate(F.sequence(F.lit(0), F.size(x) - 2), F.lit(0).cast("bigint"), lambda s, i: s.bitwiseXOR(flip(x, i)))
+    return F.transform(F.array(F.split(line, "")), walk)[0]
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Is the edit distance of two lines of code points `edits` at most? Bit-parallel, in a band of the matrix.
 
@@ -112,20 +119,27 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     lines = line_table(docs)
     hashes = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
     place = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"), F.col("n").alias("n"))
-    length = F.length("line")
-    probed = F.when(length >= least, probes(F.col("line"), length, edits))
-    where = lines.select(*hashes, place.alias("place"), probed.alias("probes"), letter_counts(F.col("line")).alias("letters"))
-    kinds = where.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("probes").alias("probes"), F.first("letters").alias("letters"))
-    kinds = checkpoint(kinds)
-
-    keyed = kinds.where("probes is not null").select("h1", "letters", F.explode("probes").alias("p")).select("h1", "letters", "p.key", "p.own")
-    s = keyed.select("key", F.col("h1").alias("a"), F.col("letters").alias("la"))
-    r = keyed.where("own").select("key", F.col("h1").alias("b"), F.col("letters").alias("lb"))
-    met = s.join(r, (s.key == r.key) & (F.col("a") != F.col("b")) & (counts_apart(F.col("la"), F.col("lb")) <= 2 * edits))
-    pairs = checkpoint(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-    wanted = lines.where(length >= least).select(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"), "line").join(broadcast_below(ids, BROADCAST_ROWS), "h", "left_semi")
-    bodies = checkpoint(wanted.groupBy("h", "h2").agg(F.first("line").alias("line")))
+    long = F.col("len") >= least
+    lines = lines.withColumn("len", F.length("line"))  # used often: a column of its own is computed once
+    where = lines.select(*hashes, place.alias("place"), F.when(long, probes(F.col("line"), F.col("len"), edits)).alias("probes"))
+    kinds = checkpoint(where.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.first("probes").alias("probes")))
+
+    # Substrings that belong to different lines, and to one of them as a segment; all else ends here.
+    keyed = kinds.where("probes is not null").select("h1", F.explode("probes").alias("p")).select("h1", "p.key", "p.own")
+    over = "over (partition by key)"
+    shared = keyed.selectExpr("*", f"min(h1) {over} as lo", f"max(h1) {over} as hi", f"max(own) {over} as some")
+    shared = checkpoint(shared.where("lo <> hi and some").select("key", "h1", "own"))
+    ids = checkpoint(shared.select(F.col("h1").alias("h")).distinct())
+    wanted = lines.where(long).select(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"), "line").join(broadcast_below(ids, BROADCAST_ROWS), "h", "left_semi")
+    bodies = wanted.groupBy("h", "h2").agg(F.first("line").alias("line"))
+    bodies = checkpoint(bodies.select("h", "h2", "line", letter_counts(F.col("line")).alias("letters"), pair_bits(F.col("line")).alias("bits")))
+
+    known = shared.join(bodies.select(F.col("h").alias("h1"), "letters", "bits"), "h1")
+    s = known.select("key", F.col("h1").alias("a"), F.col("letters").alias("la"), F.col("bits").alias("ba"))
+    r = known.where("own").select("key", F.col("h1").alias("b"), F.col("letters").alias("lb"), F.col("bits").alias("bb"))
+    alike = (F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= 4 * edits) & (counts_apart(F.col("la"), F.col("lb")) <= 2 * edits)
+    met = s.join(r, (s.key == r.key) & (F.col("a") != F.col("b")) & alike)
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one = bodies.select(F.col("h").alias("a"), F.col("h2").alias("a2"), F.col("line").alias("x_line"))
     two = bodies.select(F.col("h").alias("b"), F.col("h2").alias("b2"), F.col("line").alias("y_line"))
     facing = pairs.join(one, "a").join(two, "b")
