@@ -39,13 +39,19 @@ def cost(assigned: DataFrame) -> DataFrame:
 
 
 def lloyd(items: DataFrame, centroids: DataFrame, dim: int, rounds: int, metric: str = "euclidean") -> DataFrame:
+    """Centroids after some rounds. They are few, so each round's come to the driver and the next starts from them; a
+    plan that nested the rounds would scan the items twice as often with every one."""
+    spark = items.sparkSession
     for _ in range(rounds):
-        centroids = keep_empty(centroids, update(assign(items, centroids, metric), dim))
+        moved = keep_empty(centroids, update(assign(items, centroids, metric), dim))
+        centroids = spark.createDataFrame(moved.collect(), moved.schema)
     return centroids
 
 
 def weighted_pick(weighted: DataFrame, tag: str) -> DataFrame:
-    """One row (id, weight), drawn by weight: the first whose running sum by id reaches a share of the total."""
+    """One row (id, weight), drawn by weight: the first whose running sum by id reaches a share of the total.
+
+    The running sum passes through one task; race_pick draws by weight without one."""
     u = uniform(tag, F.lit("draw"))
     run = weighted.selectExpr("*", "sum(weight) over (order by id rows unbounded preceding) as running", "sum(weight) over () as total")
     return run.where(F.col("running") >= u * F.col("total")).orderBy("id").limit(1)
