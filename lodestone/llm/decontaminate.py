@@ -11,6 +11,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN, KGRAM = 8, 4
 #: Benchmark fingerprints are broadcast up to this many rows (about 60 MB), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
+#: So are the numbers and shared hashes of documents, up to this many; beyond, texts are shuffled to them.
+BROADCAST_DOCS = 200_000
 
 
 def item_words(text: Column) -> Column:
@@ -48,7 +50,7 @@ def _context(w: str, pos: Column, k: int, reach: int) -> list[Column]:
 def hits(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
     """(doc_id, text_hash, item_id, lo, hi): document words lo..hi-1 lie in windows of `span` words that the item has.
 
-    docs: doc_id, text_hash, w. items: item_id, w, each of `span` words or more. Both sides keep the smallest k-gram
+    docs: doc_id, text_hash, text. items: item_id, w, each of `span` words or more. Both sides keep the smallest k-gram
     hash of every span - k + 1 adjacent ones, so two equal windows of `span` words share a fingerprint. Only documents
     that share one are looked at again: there each k-gram of a shared hash is compared word by word and extended by up
     to span - k words on either side, which covers every window that holds it.
@@ -58,10 +60,12 @@ def hits(docs: DataFrame, items: DataFrame, span: int, k: int) -> DataFrame:
     known = known.select("item_id", "w", "kg", _minima("kg", width).alias("mins")).select("item_id", "w", F.posexplode("kg").alias("ipos", "h"), "mins").where(F.array_contains("mins", F.col("h")))
     known = checkpoint(known.select("item_id", "h", *_context("w", F.col("ipos"), k, reach)).distinct())
     hashes = broadcast_below(known.select("h").distinct(), BROADCAST_ROWS)
-    prints = docs.select("doc_id", "text_hash", _kgrams("w", k).alias("kg")).select("doc_id", "text_hash", F.explode(_minima("kg", width)).alias("h"))
+    words = lambda df, *more: df.select("doc_id", "text_hash", item_words(F.col("text")).alias("w"), *more)
+    prints = words(docs).select("doc_id", "text_hash", _kgrams("w", k).alias("kg")).select("doc_id", "text_hash", F.explode(_minima("kg", width)).alias("h"))
     shared = checkpoint(prints.join(hashes, "h").groupBy("doc_id", "text_hash").agg(F.collect_set("h").alias("hs")))
-    again = docs.join(shared.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), docs.doc_id.eqNullSafe(F.col("d")) & (docs.text_hash == F.col("t")))
-    again = again.select("doc_id", "text_hash", "w", "hs", _kgrams("w", k).alias("kg"))
+    shared = broadcast_below(shared.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), BROADCAST_DOCS)
+    again = docs.join(shared, docs.doc_id.eqNullSafe(F.col("d")) & (docs.text_hash == F.col("t")))
+    again = words(again, "hs").select("doc_id", "text_hash", "w", "hs", _kgrams("w", k).alias("kg"))
     spots = F.filter(F.transform("kg", lambda h, i: F.when(F.array_contains("hs", h), i)), lambda i: i.isNotNull())
     near = again.select("doc_id", "text_hash", F.explode(F.transform(spots, lambda i: F.struct(i.alias("pos"), F.get("kg", i).alias("h"), *_context("w", i, k, reach)))).alias("s"))
     near = near.select("doc_id", "text_hash", "s.pos", "s.h", F.col("s.core").alias("c"), F.col("s.before").alias("b"), F.col("s.after").alias("a"))
@@ -77,7 +81,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     one window. Items that share an item_id count once; a null item_id reads as the empty string. Repeated documents
     give repeated rows. An empty benchmark leaves every document clean. Other columns play no part.
     """
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), item_words(F.col("text")).alias("w"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     items = checkpoint(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), item_words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct())
     short = sorted(r[0] for r in items.select(F.least(F.size("w"), F.lit(span))).distinct().collect())  # span values at most
     found = None
