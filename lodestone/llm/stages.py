@@ -50,8 +50,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of fewer than two benchmark items."""
-    bad = contamination(docs, read_table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("d")).distinct()
+    """Documents that hold no window of any benchmark item."""
+    bad = contamination(docs, read_table(spark, sf_dir, "benchmark"), min_items=1).where("contaminated").select(F.col("doc_id").alias("d")).distinct()
     bad = broadcast_below(checkpoint(bad), BROADCAST_ROWS)
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("d")), "left_anti")
 
