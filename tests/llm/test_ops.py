@@ -158,6 +158,19 @@ def test_toxicity(spark, hard):
     assert {r["doc_id"]: r["score"] for r in toxicity.toxicity(df, flipped).collect()} == {r["doc_id"]: r["score"] for r in got}
 
 
+def test_toxicity_counts_different_words_before(spark):
+    rows = [("start " + " ".join(f"a{i} the" for i in range(300)), False)] * 3 + [(" ".join(f"b{i} the" for i in range(70)) + " a1 the", True), ("the", True), (None, False), ("", True)]
+    want = collections.defaultdict(lambda: [set(), set()])
+    for t, toxic in rows:
+        w = (t or "").split()
+        for x, y in zip(["", *w], w, strict=False):
+            want[y][not toxic].add(x)
+    got = toxicity.count_types(spark.createDataFrame(rows, "text string, toxic boolean").repartition(3)).collect()
+    names = {int(toxicity.expressions([w], toxicity.fold_table())[0][0]): w for w in want}
+    assert {names[r["word"]]: [r["t"], r["o"]] for r in got} == {w: [len(x) for x in v] for w, v in want.items()}
+    assert [r["t"] for r in got if names[r["word"]] == "the"] == [72]
+
+
 def test_licences(spark, hard):
     mit = licences.TEXTS["MIT"]
     rows = [(1, f"Copyright (c) 2020 A. Person\n\n{mit.upper()}"), (2, f"{mit} And more."), (3, "words\nreleased under the mit LICENCE\nRELEASED under the MIT License!"), (4, None), (4, None), (5, "Released under the MIT License."), (5, "Released under the MIT License.")]
