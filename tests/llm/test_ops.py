@@ -171,6 +171,29 @@ def test_toxicity_counts_different_words_before(spark):
     assert [r["t"] for r in got if names[r["word"]] == "the"] == [72]
 
 
+def test_toxicity_looks_words_up_exactly(spark, monkeypatch):
+    import numpy as np
+
+    word, stem, _ = toxicity.expressions(["vilex mild"], toxicity.fold_table())
+    near = [int(word[0]) % 4_194_301 + 4_194_301 * i for i in (1, 2)]  # the same bucket once, other words
+    assert np.array_equal(toxicity.look_up(np.sort(word), np.array([1.0, 2.0]), np.array(near)), [np.nan] * 2, equal_nan=True)
+    pairs = "key long, w double"
+    words, stems = spark.createDataFrame([(int(word[0]), 3.0), (near[0], -9.0)], pairs), spark.createDataFrame([(int(stem[1]), 0.5), (int(stem[0]), 7.0)], pairs)
+    rows = [(1, "vilex mild other"), (2, "vilexes, vilexes"), (3, None), (4, ""), (None, "vilex"), (5, "vilex"), (5, "vilex"), (6, "mild mild vilex !")]
+    weights = {"vilex": 3.0, "mild": 0.5, "vilexes": 7.0}
+    for most in (toxicity.MODEL_ROWS, 0):
+        monkeypatch.setattr(toxicity, "MODEL_ROWS", most)
+        model = toxicity.Model(words, stems)
+        assert (model.arrays is None) == (most == 0)
+        got = [(r["doc_id"], round(r["x"], 9), round(r["r"], 9)) for r in toxicity.mean_ratio(table(spark, rows), model, ["doc_id"]).collect()]
+        want = []
+        for d, t in rows:
+            w = re.findall(r"\w+", t or "")
+            total, n = sum(weights.get(x, 0.0) for x in w), max(1, len(w))
+            want.append((d, round(total / n, 9), round(total / math.sqrt(n), 9)))
+        assert sorted(got, key=key) == sorted(want, key=key)
+
+
 def test_licences(spark, hard):
     mit = licences.TEXTS["MIT"]
     rows = [(1, f"Copyright (c) 2020 A. Person\n\n{mit.upper()}"), (2, f"{mit} And more."), (3, "words\nreleased under the mit LICENCE\nRELEASED under the MIT License!"), (4, None), (4, None), (5, "Released under the MIT License."), (5, "Released under the MIT License.")]
