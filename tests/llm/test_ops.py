@@ -194,6 +194,21 @@ def test_toxicity_looks_words_up_exactly(spark, monkeypatch):
         assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_toxicity_counts_all_but_the_calibrating_rows(spark, monkeypatch):
+    seen = []
+    count = toxicity.count_types
+    monkeypatch.setattr(toxicity, "count_types", lambda df: seen.extend(r["text"] for r in df.collect()) or count(df))
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
+    rows = [(i, f"text{i} of words") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    toxicity.toxicity(table(spark, rows), labels)
+    sums = {i: zlib.crc32(str(i).encode()) for i in range(400)}
+    tune = sorted((c, i) for i, c in sums.items() if c % 5 == 1)
+    assert len(tune) > 40
+    left = {i for i, c in sums.items() if c % 5} - {i for _, i in tune[:20]}
+    assert sorted(seen) == sorted(f"text{i} of words" for i in left)
+
+
 def test_licences(spark, hard):
     mit = licences.TEXTS["MIT"]
     rows = [(1, f"Copyright (c) 2020 A. Person\n\n{mit.upper()}"), (2, f"{mit} And more."), (3, "words\nreleased under the mit LICENCE\nRELEASED under the MIT License!"), (4, None), (4, None), (5, "Released under the MIT License."), (5, "Released under the MIT License.")]
