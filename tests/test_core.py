@@ -244,3 +244,18 @@ def test_query(spark, sf_dir, name):
 def test_contract(spark):
     assert contract.entry(spark).count() == 50
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", ["rp_forest_search", "voronoi_search", "hnsw_search"])
+def test_index_searches_hold_all_rows(spark, sf_dir, name):
+    df = core.items(spark, sf_dir)
+    vectors = {r["id"]: np.array(r["vector"], float) for r in df.collect()}
+    got = {}
+    for r in core.QUERIES[name](spark, sf_dir).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    assert set(got) == {i for i in vectors if i % 100 == 0}
+    right = 0
+    for i, found in got.items():
+        assert i in found and len(found) == 10
+        right += len(found & set(sorted(vectors, key=lambda j: (np.linalg.norm(vectors[j] - vectors[i]), j))[:10]))
+    assert right >= 0.8 * 10 * len(got)
