@@ -77,13 +77,13 @@ def link_components(fps: DataFrame, distance: int = 3, blocks: int = 6) -> DataF
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int = 6) -> DataFrame:
-    """(doc_id, text_hash, times, fp, component_id, n_links) of every different (doc_id, text); times: its rows."""
+    """(doc_id, text_hash, times, fp, component, component_id, n_links) of every different (doc_id, text); times: its rows."""
     prints = checkpoint(fingerprints(docs, shingle))
     kinds = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.sum("times").alias("copies"))
     groups = link_components(checkpoint(prints.select("fp").distinct()), distance, blocks)
     named = checkpoint(kinds.join(groups, "fp"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    out = named.join(ids, "component").select("fp", "component_id", (F.col("copies") - 1).alias("n_links"))
+    out = named.join(ids, "component").select("fp", "component", "component_id", (F.col("copies") - 1).alias("n_links"))
     return prints.join(out, "fp")
 
 
@@ -99,4 +99,5 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 3, blo
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash_components() of all documents."""
     return simhash_components(read_table(spark, sf_dir, "documents"))
