@@ -18,7 +18,8 @@ from lodestone.llm.common import checkpoint, read_table
 from lodestone.llm.textcodes import chunks, code_points
 
 WINDOW, OPEN, END_ID = 2048, 64, 1
-#: A piece is cut to fill a window only if that takes this many tokens at least.
+#: A document that no open window has room for is cut to fill the fullest one, if both pieces have this many tokens at
+#: least; else it opens a window. It only chooses where to cut; every id is placed either way.
 LEAST_CUT = 32
 #: Open windows of so many partitions meet in one task when leftovers are merged.
 MERGE = 16
@@ -71,8 +72,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         special = {t.content for t in tok.get_added_tokens_decoder().values()}
+        self.special = sorted(special)
         # Byte-level vocabularies write bytes as printable characters: themselves if printable, else from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
@@ -103,8 +104,9 @@ class Encoder:
         self.used += need
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Texts with contractions are few and go through the tokenizer itself."""
-        odd = [i for i, t in enumerate(texts) if "'" in t and any(c in t for c in CONTRACTIONS)]
+        """Ids of each text. Texts with contractions or with the vocabulary's special strings are few and go through the
+        tokenizer itself."""
+        odd = [i for i, t in enumerate(texts) if ("'" in t and any(c in t for c in CONTRACTIONS)) or any(c in t for c in self.special)]
         plain = list(texts)
         for i in odd:
             plain[i] = ""
@@ -138,8 +140,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder of a vocabulary file."""
+def encoder(path: str | None) -> Encoder:
+    """The worker's encoder of a vocabulary file, by default of the one that default_vocabulary() finds on its machine."""
+    path = path or default_vocabulary()
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -188,7 +191,7 @@ class Bins:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, open boolean"
 
 
-def pack_partitions(docs: DataFrame, path: str, window: int, most: int) -> DataFrame:
+def pack_partitions(docs: DataFrame, path: str | None, window: int, most: int, least_cut: int) -> DataFrame:
     """PIECES of every document, packed within each partition of the input; open: of a window that was left open."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +222,7 @@ def pack_partitions(docs: DataFrame, path: str, window: int, most: int) -> DataF
                             cut = window
                         else:
                             room = bins.fullest()
-                            cut = room if room >= LEAST_CUT and left - room >= LEAST_CUT and not bins.fits(left) else left
+                            cut = room if room >= least_cut and left - room >= least_cut and not bins.fits(left) else left
                         item = (doc_id, start, cut, zlib.crc32(ids[start : start + cut]), n)
                         if cut == window:
                             close([(item, 0, cut)])
@@ -273,15 +276,15 @@ def merge_open(open_windows: DataFrame, window: int, most: int, partitions: int)
         open_windows = step.where("open and sequence_id = into").select("sequence_id", "fill")
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, most: int = OPEN) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, most: int = OPEN, least_cut: int = LEAST_CUT) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
     Each document, its ids then END_ID, is cut only where it is longer than a window or where no open window has room
-    for it and it can fill the fullest one. Null texts are empty, so END_ID alone. Repeated rows and null doc_ids are
+    for it and it can fill the fullest one, with least_cut tokens or more on either side of the cut. Null texts are empty, so END_ID alone. Repeated rows and null doc_ids are
     documents like others; other columns play no part; an empty table gives no pieces.
     """
     partitions = docs.rdd.getNumPartitions()
-    pieces = checkpoint(pack_partitions(docs, path, window, most))
+    pieces = checkpoint(pack_partitions(docs, path, window, most, least_cut))
     left = pieces.where("open")
     fills = left.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
     moved = left.join(merge_open(fills, window, most, partitions), "sequence_id")
@@ -291,10 +294,12 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, most: int =
 
 
 def default_vocabulary() -> str:
+    """Where the vocabulary file is on this machine, driver or executor."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read_table(spark, sf_dir, "documents"), default_vocabulary())
+    """pack_documents() of all documents by the 50,000-word byte-level vocabulary."""
+    return pack_documents(read_table(spark, sf_dir, "documents"))
