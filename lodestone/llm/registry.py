@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.OP1_SQL, "op5_license_scan": licences.op5_sql(), "op9_chat_formatting": chat.OP9_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.OP1_SQL, "op5_license_scan": licences.op5_sql(), "op6_substring_dedup": substring.OP6_SQL, "op9_chat_formatting": chat.OP9_SQL}

@@ -1,4 +1,10 @@
-"""Substring dedup by level-wise doubling of repeated windows."""
+"""Substring dedup by level-wise doubling of repeated windows.
+
+A window can repeat only if both its halves do. So windows of half the length are counted first, over all texts, and
+only those that repeat are extended to twice their length, until the wanted length is reached or none is left. Of the
+halves of a window one stands for all: the smallest hash among the windows of half the length inside it. Equal windows
+have it at the same place, so a half that is counted once ends the search for every window that it stands for.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint, read_table, release_shuffles
-from lodestone.llm.textcodes import chunks, code_points, mix64, rolling, words
+from lodestone.llm.common import BROADCAST_BYTES, broadcast_below, checkpoint, discard, read_table
+from lodestone.llm.textcodes import Words, chunks, code_points, mix64, rolling, words
 
-WINDOW = 20
-#: Bytes that tell windows around one half-window apart, beside its own 8 and the place in it.
-TAIL = 6
+WINDOW, FIRST = 20, 10
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+LOW32 = 0xFFFFFFFF
+
+
+def doubled_lengths(window: int, first: int) -> list[int]:
+    """The lengths of the levels: window, and its halves down to no less than `first` words."""
+    out = [window]
+    while out[0] % 2 == 0 and out[0] // 2 >= first:
+        out.insert(0, out[0] // 2)
+    return out
 
 
 def _ahead(x: np.ndarray, k: int, fill) -> np.ndarray:
@@ -25,137 +38,162 @@ def _ahead(x: np.ndarray, k: int, fill) -> np.ndarray:
     return out
 
 
-def window_runs(w, n_texts: int, window: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows of one text that share their smallest half-window.
-
-    Returns, for each run: hash of the half-window, text, first window's word in the text, words from there to the
-    half-window, number of windows; and for all windows in order the hash of the whole, twice the half, window.
-    Equal windows pick equal half-windows at the same place, so windows that repeat meet under one half-window, and
-    a half-window that does not repeat ends the search for all its windows.
-    """
-    half = window // 2
-    n = len(w.hashes)
-    text = np.repeat(np.arange(n_texts), w.counts)
-    last = w.first[1:][text]
-    at = np.arange(n)
-    a = rolling(w.hashes, half)
-    whole = mix64(a * np.uint64(3) + mix64(_ahead(a, half, 0)))
-    low = np.where(at + half <= last, a, NONE)
-    # Leftmost smallest half-window among those that start at i .. i + window - half, by doubling.
-    best, span, width = at.copy(), 1, window - half + 1
-    while span < width:
-        step = min(span, width - span)
-        other = np.minimum(_ahead(best, step, n - 1), n - 1)
-        best = np.where(low[other] < low[best], other, best)
-        span += step
-    starts = np.flatnonzero(at + window <= last)
-    if not len(starts):
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none, none, none.astype(np.uint64)
-    pick = best[starts]
-    head = np.flatnonzero(np.concatenate([[True], (pick[1:] != pick[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    first = starts[head]
-    return a[pick[head]], text[first], first - w.first[text[first]], pick[head] - first, np.diff(np.append(head, len(starts))), whole[starts]
-
-
-def find_runs(docs: DataFrame, window: int) -> DataFrame:
-    """(half, doc_id, start, lead, tails): window_runs of every text, tails holding TAIL bytes of each window's hash."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _member(h: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Is each hash among the sorted known ones; None knows all."""
+    if known is None:
+        return np.ones(len(h), bool)
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+class Level:
+    """All windows of one length in some texts: their hash at each word, and which of them are still open."""
+
+    def __init__(self, w: Words, n_texts: int, length: int):
+        self.text = np.repeat(np.arange(n_texts), w.counts)
+        self.last = w.first[1:][self.text]
+        self.at = np.arange(len(w.hashes))
+        self.length, self.hash = length, rolling(w.hashes, length)
+        self.open = self.at + length <= self.last
+
+    def picks(self) -> tuple[np.ndarray, np.ndarray]:
+        """For windows of twice the length: where the leftmost smallest of their halves is, and are all of them open."""
+        n, span, width = len(self.at), 1, self.length + 1
+        low = np.where(self.open, self.hash, NONE)
+        best = self.at.copy()
+        while span < width:  # smallest of `span` windows from each word on, by doubling
+            step = min(span, width - span)
+            other = np.minimum(_ahead(best, step, n - 1), n - 1)
+            best = np.where(low[other] < low[best], other, best)
+            span += step
+        shut = np.concatenate([[0], np.cumsum(~self.open)])
+        inside = self.at + 2 * self.length <= self.last
+        end = np.minimum(self.at + width, n)
+        return best, inside & (shut[end] == shut[self.at])
+
+    def double(self, known: np.ndarray | None) -> None:
+        """Windows of twice the length; open are those whose picked half is known to repeat."""
+        best, can = self.picks()
+        can[can] = _member(self.hash[best[can]], known)
+        self.hash = mix64(self.hash * np.uint64(3) + mix64(_ahead(self.hash, self.length, 0)))
+        self.length, self.open = 2 * self.length, can
+
+
+def _levels(texts: list[str], lengths: list[int], known: list[np.ndarray | None]) -> Level:
+    w = words(*code_points(texts))
+    level = Level(w, len(texts), lengths[0])
+    for k in known:
+        level.double(k)
+    return level
+
+
+def count_halves(docs: DataFrame, lengths: list[int], known) -> DataFrame:
+    """(h, doc_id, text_key) of the halves that stand for windows of the next length. known: a broadcast list of the
+    repeated halves of the levels below. Once for every place where a half stands."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for at, texts in chunks(batch.column(1)):
-                half, text, start, lead, n, whole = window_runs(words(*code_points(texts)), len(texts), window)
-                data = np.ascontiguousarray(whole.view(np.uint8).reshape(-1, 8)[:, :TAIL])
-                offsets = np.concatenate([[0], np.cumsum(n * TAIL)]).astype(np.int32)
-                tails = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                cols = [pa.array(half.view(np.int64)), ids.take(pa.array(text + at)), pa.array(start.astype(np.int32)), pa.array(lead.astype(np.int32)), tails]
-                yield pa.RecordBatch.from_arrays(cols, ["half", "doc_id", "start", "lead", "tails"])
+            ids, keys = batch.column(0), batch.column(1)
+            for at, texts in chunks(batch.column(2)):
+                level = _levels(texts, lengths, known.value)
+                best, can = level.picks()
+                place = np.unique(best[can])
+                of = pa.array(level.text[place] + at)
+                yield pa.RecordBatch.from_arrays([pa.array(level.hash[place].view(np.int64)), ids.take(of), keys.take(of)], ["h", "doc_id", "text_key"])
 
-    known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    return known.mapInArrow(find, "half long, doc_id long, start int, lead int, tails binary")
+    return docs.select("doc_id", "text_key", "text").mapInArrow(count, "h long, doc_id long, text_key long")
 
 
-def later_windows(runs: DataFrame) -> DataFrame:
-    """(doc_id, span): spans of windows, first << 32 | last start, whose words also start earlier.
+def find_windows(docs: DataFrame, lengths: list[int], known) -> DataFrame:
+    """(k1, k2, doc_id, place, later) of the open windows of the last length. place: text_key << 32 | first word. later: an
+    equal one stands before it in the same text. docs may have `halves`, the repeated halves of each text, for the last
+    doubling; others do no harm, as they only say what is left out."""
+    own = "halves" in docs.columns
 
-    Runs meet by half-window and pass in the order of doc_id and start, so a stream through each partition needs to
-    remember only the different windows around the half-window that is passing, not its occurrences.
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = batch.column(0), batch.column(1).to_numpy()
+            for at, texts in chunks(batch.column(2)):
+                repeated = list(known.value)
+                if own:
+                    here = batch.column(3).slice(at, len(texts)).flatten().to_numpy(zero_copy_only=False)
+                    repeated.append(np.unique(here.astype(np.int64).view(np.uint64)))
+                w = words(*code_points(texts))
+                level = Level(w, len(texts), lengths[0])
+                for k in repeated:
+                    level.double(k)
+                start = np.flatnonzero(level.open)
+                if not len(start):
+                    continue
+                text = level.text[start]
+                k1 = level.hash[start]
+                k2 = rolling(mix64(w.hashes ^ np.uint64(0x5DEECE66D)), lengths[-1])[start]
+                _, first = np.unique(mix64(k1 + mix64(text.astype(np.uint64))), return_index=True)
+                later = np.ones(len(start), bool)
+                later[first] = False
+                place = keys[at + text].astype(np.uint64) << np.uint64(32) | (start - w.first[text]).astype(np.uint64)
+                cols = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), ids.take(pa.array(at + text)), pa.array(place.view(np.int64)), pa.array(later)]
+                yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "doc_id", "place", "later"])
+
+    return docs.select("doc_id", "text_key", "text", *(["halves"] if own else [])).mapInArrow(find, "k1 long, k2 long, doc_id long, place long, later boolean")
+
+
+def later_windows(docs: DataFrame, window: int, first: int, most: int) -> DataFrame:
+    """(doc_id, text_key, starts): first words of the windows of each text whose words also start earlier.
+
+    docs: doc_id, text_key, text, none of them null. The repeated halves of a level are sent to all executors while they
+    take `most` bytes at most. Beyond, the last level's are joined to the documents that have them, and each text brings
+    its own; those of levels before it are not used, which leaves more windows to the next count and no result different.
     """
+    sc = docs.sparkSession.sparkContext
+    lengths = doubled_lengths(window, first)
+    known: list[np.ndarray | None] = []
+    for i in range(len(lengths) - 1):
+        halves = count_halves(docs, lengths, sc.broadcast(list(known)))
+        repeated = checkpoint(halves.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+        if 8 * repeated.count() <= most:
+            known.append(np.sort(repeated.toArrow()["h"].to_numpy().view(np.uint64)))
+            if not len(known[-1]):
+                return docs.where("false").select("doc_id", "text_key", F.array().cast("array<bigint>").alias("starts"))
+        elif i < len(lengths) - 2:
+            known.append(None)
+        else:
+            per = halves.join(repeated, "h").groupBy("doc_id", "text_key").agg(F.collect_set("h").alias("halves"))
+            docs = docs.join(broadcast_below(checkpoint(per), most), ["doc_id", "text_key"])
+    found = checkpoint(find_windows(docs, lengths, sc.broadcast(known)))
+    new = found.where("not later")
+    earliest = checkpoint(new.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k1", "k2", "lo"))
+    after = new.join(broadcast_below(earliest, most), ["k1", "k2"]).where("doc_id > lo").select("doc_id", "place")
+    gone = after.union(found.where("later").select("doc_id", "place")).select("doc_id", F.shiftrightunsigned("place", 32).alias("text_key"), F.col("place").bitwiseAND(F.lit(LOW32)).alias("start"))
+    out = checkpoint(gone.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts")))
+    discard(found, earliest)
+    return out
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried, seen, previous = None, np.zeros(0, np.uint64), None
-        for batch in batches:
-            half, doc, start, lead = (batch.column(i).to_numpy() for i in range(4))
-            if not len(half):
-                continue
-            # The same place twice comes from a repeated row; it counts once.
-            again = np.zeros(len(half), bool)
-            again[1:] = (half[1:] == half[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
-            again[0] = previous == (half[0], doc[0], start[0])
-            previous = (half[-1], doc[-1], start[-1])
-            if half[0] != carried:
-                seen = seen[:0]
-            same = np.zeros(len(half), bool)
-            same[1:] = half[1:] == half[:-1]
-            alone = ~same & ~np.append(same[1:], False)
-            alone[0] &= half[0] != carried
-            alone[-1] = False  # the next batch may go on with it
-            rows = np.flatnonzero(~alone & ~again)
-            tails = batch.column(4)
-            ends = np.frombuffer(tails.buffers()[1], np.int32)[tails.offset : tails.offset + len(tails) + 1].astype(np.int64)
-            data = np.frombuffer(tails.buffers()[2], np.uint8) if ends[-1] else np.zeros(0, np.uint8)
-            n = (ends[rows + 1] - ends[rows]) // TAIL
-            which = np.repeat(np.arange(len(rows)), n)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            places = ends[rows][which] + step * TAIL
-            tail = np.zeros((len(which), 8), np.uint8)
-            tail[:, :TAIL] = data[places[:, None] + np.arange(TAIL)]
-            lead_here = (lead[rows][which] - step).astype(np.uint64)
-            key = mix64(mix64(half[rows][which].view(np.uint64) ^ mix64(lead_here)) + tail.view(np.uint64).ravel())
-            _, first = np.unique(key, return_index=True)
-            later = np.ones(len(key), bool)
-            later[first] = False
-            on = half[rows][which] == half[0]
-            if len(seen):
-                later[on] |= np.isin(key[on], seen)
-            tip = half[rows][which] == half[-1]
-            seen = np.unique(np.concatenate([seen, key[tip]])) if half[-1] == half[0] else np.unique(key[tip])
-            carried = half[-1]
-            hit = np.flatnonzero(later)
-            if not len(hit):
-                continue
-            s = start[rows][which[hit]].astype(np.int64) + step[hit]
-            cut = np.flatnonzero(np.concatenate([[True], (which[hit][1:] != which[hit][:-1]) | (s[1:] != s[:-1] + 1)]))
-            to = np.append(cut[1:], len(hit)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc[rows][which[hit]][cut]), pa.array(s[cut] << 32 | s[to])], ["doc_id", "span"])
-
-    return runs.repartition("half").sortWithinPartitions("half", "doc_id", "start").mapInArrow(stream, "doc_id long, span long")
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, most: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for every row.
 
     A word goes if a window of `window` words that covers it also starts earlier, in a smaller doc_id or before it in
     the same text; what is left plays no part. Null and empty texts have no words. Rows without doc_id have no place in
-    that order: they stay whole and take nothing from others. Repeated rows count as one document and get equal rows.
-    An empty table gives an empty result; other columns play no part.
+    that order: they stay whole and take nothing from others. Rows of one doc_id take nothing from each other, so
+    repeated rows get equal rows. An empty table gives an empty result; other columns play no part.
     """
-    spans = checkpoint(later_windows(find_runs(docs, window)).groupBy("doc_id").agg(F.collect_list("span").alias("spans")))
-    release_shuffles(docs.sparkSession)
-    joined = docs.select("doc_id", "text").join(spans, "doc_id", "left")
+    keyed = docs.select("doc_id", F.xxhash64("text").bitwiseAND(F.lit(LOW32)).alias("text_key"), "text")
+    starts = later_windows(keyed.where("doc_id is not null and text is not null"), window, first, most)
+    joined = keyed.join(broadcast_below(starts, most), ["doc_id", "text_key"], "left").select("doc_id", "text", "starts")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept = [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
+            for text, starts in zip(batch.column(1), batch.column(2), strict=True):
                 ws = (text.as_py() or "").encode().split()
                 total.append(len(ws))
-                if spans.is_valid:
-                    v = spans.values.to_numpy()
+                if starts.is_valid:
+                    at = starts.values.to_numpy()
                     edge = np.zeros(len(ws) + 1, np.int32)
-                    np.add.at(edge, v >> 32, 1)
-                    np.add.at(edge, (v & 0xFFFFFFFF) + window, -1)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
                     keep = np.cumsum(edge[:-1]) == 0
                     ws = [ws[i] for i in np.flatnonzero(keep)]
                 gone.append(total[-1] - len(ws))
@@ -166,5 +204,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """remove_repeats() of all documents, the text that is left as its digest."""
     out = remove_repeats(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+wins AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM wins) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
