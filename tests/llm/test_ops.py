@@ -14,7 +14,8 @@ from lodestone.llm import chat, decontaminate, licences, lines, packing, quality
 from lodestone.llm.common import read_table
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
-NUMBER = "doc_id long, text string, lang string, source string, n_chars long, w string, fp string"
+CLASH = ("w", "fp", "d", "t", "x", "r", "n", "h", "score", "gone", "ls", "held_out", "predicted", "n_near", "times", "component", "line", "place", "item_id", "kept_text", "_t", "_row", "_id")
+NUMBER = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 P20 = " ".join(f"p{i}" for i in range(20))
 HARD = [
     (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "One two"), (6, "a b c"), (7, f"x {P20} y"), (8, f"{P20} z {P20}"), (9, P20), (9, P20),
@@ -23,7 +24,7 @@ HARD = [
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, t, "en", "src0", 0, "clash", "clash") for i, t in rows], NUMBER)
+    return spark.createDataFrame([(i, t, "en", "src0", 0, *["clash"] * len(CLASH)) for i, t in rows], NUMBER)
 
 
 @pytest.fixture(scope="module")
@@ -222,7 +223,7 @@ def test_substring(spark, docs, hard):
     for df in (docs, hard, hard.where("false")):
         rows = texts(df)
         seen, at = set(), {}
-        for d, t in sorted({r for r in rows if r[0] is not None}, key=lambda r: r[0]):
+        for d, t in sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or "")):
             w = SPACE.findall(t or "")
             gone = set()
             for i in range(len(w) - 19):
@@ -236,7 +237,8 @@ def test_substring(spark, docs, hard):
             w = SPACE.findall(t or "")
             kept = at.get(d, w)
             want.append((d, len(w), len(w) - len(kept), " ".join(kept)))
-        assert sorted(map(tuple, substring.remove_repeats(df).collect()), key=key) == sorted(want, key=key)
+        for options in ({}, {"most": 0}, {"first": 5}, {"first": 5, "most": 0}, {"first": 20}):  # both sides of the broadcast, other levels
+            assert sorted(map(tuple, substring.remove_repeats(df, **options).collect()), key=key) == sorted(want, key=key)
 
 
 def test_packing(spark, docs, hard):
@@ -244,8 +246,7 @@ def test_packing(spark, docs, hard):
 
     path = packing.default_vocabulary()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    tricky = [(50 + i, t) for i, t in enumerate([" ", "  a", "a\n\n b", "\t\tx ", "it's we'll 'd", "٣٤ ²½ x²", "a   b", "é‍😀!? ,.", "\r\n\r\n", "<|endoftext|> x", "a'b s'"])]
+    tricky = [(50 + i, t) for i, t in enumerate([" ", "  a", "a\n\n b", "\t\tx ", "it's we'll 'd", "٣٤ ²½ x²", "a   b", "é‍😀!? ,.", "\r\n\r\n", "<|endoftext|> x", "a <|endoftext|> b<|endoftext|>", "a'b s'"])]
     for df in (docs, hard, table(spark, tricky), hard.where("false")):
         rows = texts(df)
         pieces = packing.pack_documents(df.repartition(3), path).collect()
@@ -373,15 +374,18 @@ def test_banded_distance(spark):
         rows.append((i, max(a, b, key=len), min(a, b, key=len)))
     for edits in (1, 2, 3):
         df = spark.createDataFrame(rows, "i int, longer string, shorter string")
-        assert {r["i"] for r in lines.verified(df, edits).collect()} == {i for i, a, b in rows if edit_distance(a, b) <= edits}
+        assert {r["i"] for r in lines.verified(df, edits, 8).collect()} == {i for i, a, b in rows if edit_distance(a, b) <= min(edits, len(b) // 8)}
 
 
 def test_lines(spark):
     import random
 
     rng = random.Random(4)
-    base = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(38, 70))) for _ in range(25)] + ["short", "shart", "  ", "", "naïve " * 9]
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(38, 70))) for _ in range(25)] + ["short", "shart", "  ", "", "naïve " * 9, "nineteen characters", "ninetaen characters", "one of twenty letter", "one of twenty lettar", "one of twenty letters"]
     rows = [(i, "\n".join(mutate(rng, x, rng.choice([0, 0, 0, 1, 2, 3])) if len(x) > 30 else x for x in rng.sample(base, rng.randrange(1, 8)))) for i in range(80)]
+    for n in (19, 20, 21, 38, 39, 40, 41, 42, 43):  # about the lengths where the allowance changes
+        x = "".join(rng.choice("abcde ") for _ in range(n))
+        rows += [(1000 * n + i, mutate(rng, x, i % 4)) for i in range(8)]
     rows += [(None, base[0]), (None, base[0]), (5, rows[5][1]), (81, None), (82, "")]
     df = table(spark, rows)
     for edits in (2, 1):
@@ -391,7 +395,7 @@ def test_lines(spark):
             out = []
             for x in (t or "").split("\n"):
                 if SPACE.search(x):
-                    if not any(x == y or (min(len(x), len(y)) >= 40 and abs(len(x) - len(y)) <= edits and edit_distance(x, y) <= edits) for y in seen):
+                    if not any(x == y or (abs(len(x) - len(y)) <= edits and edit_distance(x, y) <= min(edits, len(x) // 20, len(y) // 20)) for y in seen):
                         out.append(x)
                     seen.append(x)
                 else:
