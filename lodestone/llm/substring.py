@@ -106,9 +106,9 @@ def count_halves(docs: DataFrame, lengths: list[int], known) -> DataFrame:
 
 
 def find_windows(docs: DataFrame, lengths: list[int], known) -> DataFrame:
-    """(k1, k2, doc_id, place, later) of the open windows of the last length. place: text_key << 32 | first word. later: an
-    equal one stands before it in the same text. docs may have `halves`, the repeated halves of each text, for the last
-    doubling; others do no harm, as they only say what is left out."""
+    """(k1, k2, doc_id, place, run) of the open windows of the last length that are new in their text, where run is 0, and of
+    runs of `run` windows that stand before in the same text. place: text_key << 32 | first word. docs may have `halves`,
+    the repeated halves of each text, for the last doubling; others do no harm, as they only say what is left out."""
     own = "halves" in docs.columns
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +133,20 @@ def find_windows(docs: DataFrame, lengths: list[int], known) -> DataFrame:
                 later = np.ones(len(start), bool)
                 later[first] = False
                 place = keys[at + text].astype(np.uint64) << np.uint64(32) | (start - w.first[text]).astype(np.uint64)
-                cols = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), ids.take(pa.array(at + text)), pa.array(place.view(np.int64)), pa.array(later)]
-                yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "doc_id", "place", "later"])
+                head = later.copy()
+                head[1:] &= ~later[:-1] | (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1])
+                run = np.bincount(np.cumsum(head)[later] - 1, minlength=head.sum()) if head.any() else np.zeros(0, np.int64)
+                rows = np.concatenate([np.flatnonzero(~later), np.flatnonzero(head)])
+                k1[later], k2[later] = 0, 0
+                n = np.concatenate([np.zeros(len(rows) - len(run), np.int64), run]).astype(np.int32)
+                cols = [pa.array(k1[rows].view(np.int64)), pa.array(k2[rows].view(np.int64)), ids.take(pa.array(at + text[rows])), pa.array(place[rows].view(np.int64)), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(cols, ["k1", "k2", "doc_id", "place", "run"])
 
-    return docs.select("doc_id", "text_key", "text", *(["halves"] if own else [])).mapInArrow(find, "k1 long, k2 long, doc_id long, place long, later boolean")
+    return docs.select("doc_id", "text_key", "text", *(["halves"] if own else [])).mapInArrow(find, "k1 long, k2 long, doc_id long, place long, run int")
 
 
 def later_windows(docs: DataFrame, window: int, first: int, most: int) -> DataFrame:
-    """(doc_id, text_key, starts): first words of the windows of each text whose words also start earlier.
+    """(doc_id, text_key, starts): runs, first word << 32 | length, of the windows of each text whose words also start earlier.
 
     docs: doc_id, text_key, text, none of them null. The repeated halves of a level are sent to all executors while they
     take `most` bytes at most. Beyond, the last level's are joined to the documents that have them, and each text brings
@@ -162,15 +168,23 @@ def later_windows(docs: DataFrame, window: int, first: int, most: int) -> DataFr
             per = halves.join(repeated, "h").groupBy("doc_id", "text_key").agg(F.collect_set("h").alias("halves"))
             docs = docs.join(broadcast_below(checkpoint(per), most), ["doc_id", "text_key"])
     found = checkpoint(find_windows(docs, lengths, sc.broadcast(known)))
-    new = found.where("not later")
+    new = found.where("run = 0")
     earliest = checkpoint(new.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k1", "k2", "lo"))
-    after = new.join(broadcast_below(earliest, most), ["k1", "k2"]).where("doc_id > lo").select("doc_id", "place")
-    gone = after.union(found.where("later").select("doc_id", "place")).select("doc_id", F.shiftrightunsigned("place", 32).alias("text_key"), F.col("place").bitwiseAND(F.lit(LOW32)).alias("start"))
-    out = checkpoint(gone.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts")))
+    after = new.join(broadcast_below(earliest, most), ["k1", "k2"]).where("doc_id > lo").select("doc_id", "place", F.lit(1).alias("run"))
+    gone = after.union(found.where("run > 0").select("doc_id", "place", "run"))
+    span = F.shiftleft(F.col("place").bitwiseAND(F.lit(LOW32)), 32).bitwiseOR(F.col("run").cast("bigint"))
+    out = checkpoint(gone.groupBy("doc_id", F.shiftrightunsigned("place", 32).alias("text_key")).agg(F.collect_list(span).alias("starts")))
     discard(found, earliest)
     return out
 
 
+def copies_of_earlier(docs: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text_key) of documents whose whole text a smaller doc_id has too."""
+    hashed = docs.select("doc_id", "text_key", F.xxhash64("text").alias("t1"), F.xxhash64("text", F.lit(1)).alias("t2"))
+    groups = checkpoint(hashed.groupBy("t1", "t2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("t1", "t2", "lo"))
+    return checkpoint(hashed.join(broadcast_below(groups, most), ["t1", "t2"]).where("doc_id > lo").select("doc_id", "text_key").distinct())
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, most: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for every row.
 
@@ -178,9 +192,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, mo
     the same text; what is left plays no part. Null and empty texts have no words. Rows without doc_id have no place in
     that order: they stay whole and take nothing from others. Rows of one doc_id take nothing from each other, so
     repeated rows get equal rows. An empty table gives an empty result; other columns play no part.
+
+    Every window of a copy of an earlier document starts earlier, so copies need no search: they lose all words, if they
+    have a window at all, and only one document of each text is searched.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").bitwiseAND(F.lit(LOW32)).alias("text_key"), "text")
-    starts = later_windows(keyed.where("doc_id is not null and text is not null"), window, first, most)
+    full = keyed.where("doc_id is not null and text is not null")
+    copies = copies_of_earlier(full, most)
+    starts = later_windows(full.join(broadcast_below(copies, most), ["doc_id", "text_key"], "left_anti"), window, first, most)
+    starts = checkpoint(starts.union(copies.select("doc_id", "text_key", F.array(F.lit(-1).cast("bigint")))))
     joined = keyed.join(broadcast_below(starts, most), ["doc_id", "text_key"], "left").select("doc_id", "text", "starts")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,11 +210,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, mo
                 ws = (text.as_py() or "").encode().split()
                 total.append(len(ws))
                 if starts.is_valid:
-                    at = starts.values.to_numpy()
-                    edge = np.zeros(len(ws) + 1, np.int32)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
+                    v = starts.values.to_numpy()
+                    if v[0] < 0:
+                        v = np.array([max(0, len(ws) - window + 1)])  # all its windows, from word 0 on
+                    at, run = v >> 32, v & LOW32
+                    edge = np.zeros(len(ws) + window + 1, np.int32)
+                    np.add.at(edge, at[run > 0], 1)
+                    np.add.at(edge, (at + run - 1 + window)[run > 0], -1)
+                    keep = np.cumsum(edge[: len(ws)]) == 0
                     ws = [ws[i] for i in np.flatnonzero(keep)]
                 gone.append(total[-1] - len(ws))
                 kept.append(b" ".join(ws))

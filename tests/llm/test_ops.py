@@ -237,7 +237,7 @@ def test_substring(spark, docs, hard):
             w = SPACE.findall(t or "")
             kept = at.get(d, w)
             want.append((d, len(w), len(w) - len(kept), " ".join(kept)))
-        for options in ({}, {"most": 0}, {"first": 5}, {"first": 5, "most": 0}, {"first": 20}):  # both sides of the broadcast, other levels
+        for options in ({}, {"most": 0}, {"first": 5}) if df is docs else ({}, {"first": 5, "most": 0}):  # both sides of the broadcast, other levels
             assert sorted(map(tuple, substring.remove_repeats(df, **options).collect()), key=key) == sorted(want, key=key)
 
 
