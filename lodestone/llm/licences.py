@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, UPPER, ascii_lower, read_table
+from lodestone.llm.common import LOWER, UPPER, ascii_lower, broadcast_below, checkpoint, read_table
 
+#: Long licence texts, as their owners publish them, one file each.
+FILES = Path(__file__).parent / "licence_texts"
 # Licence texts and notices as their owners publish them.
 NOTICES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\")", "SPDX-License-Identifier: Apache-2.0"],
@@ -46,6 +50,15 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution.""",
 }
+_CLAUSE_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+TEXTS["BSD-3-Clause"] = TEXTS["BSD-2-Clause"].replace("\n\nTHIS SOFTWARE", f"\n\n{_CLAUSE_3}\n\nTHIS SOFTWARE")
+#: Titles that may stand before a text.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"], "Zlib": ["zlib License", "The zlib/libpng License"],
+}
+#: Where the body of a text of FILES begins, after its title, and where it may end.
+BODIES = {"Apache-2.0": ("TERMS AND CONDITIONS FOR USE", "END OF TERMS AND CONDITIONS"), "GPL-3.0": ("Preamble", "END OF TERMS AND CONDITIONS"), "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International Public\nLicense\n\nBy exercising", None)}
 #: Equivalent spellings, each with the one that stands for it.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization", "authorised": "authorized",
@@ -59,61 +72,79 @@ COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright [0-9(©]|copyright ©|\(c\) [0-9]|©)[
 MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F“”‘’–—©]+"
 
 
+def whole_texts() -> dict[str, list[str]]:
+    """Every licence's full texts: with and without a title, "All rights reserved." and, where there is one, an appendix."""
+    out: dict[str, list[str]] = {}
+    for name, body in TEXTS.items():
+        rights = [body, f"All rights reserved.\n\n{body}"]
+        out[name] = rights + [f"{title}\n\n{x}" for title in TITLES.get(name, []) for x in rights]
+    for name, (begin, end) in BODIES.items():
+        text = (FILES / f"{name}.txt").read_text()
+        starts = {0, max(0, text.find(begin))}
+        some = [text[i:] for i in sorted(starts)]
+        some += [x[: x.index(end) + len(end)] for x in some if end and end in x]
+        some += [x.replace("Copyright [yyyy] [name of copyright owner]\n", "") for x in some if "[yyyy]" in x]
+        out[name] = some
+    return out
+
+
+def known_texts() -> dict[str, list[str]]:
+    """All texts and notices of this module by licence."""
+    full = whole_texts()
+    return {k: [*NOTICES.get(k, []), *full.get(k, [])] for k in {**NOTICES, **full}}
+
+
 def squeeze(text: Column) -> Column:
     """Lower case, no copyright lines, marks as single spaces; line breaks stay."""
     return F.regexp_replace(F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, ""), MARKS, " ")
 
 
-def respell(squeezed: Column) -> Column:
-    """Canonical words of squeezed text without line breaks, joined by one space."""
-    out = F.concat(F.lit(" "), F.replace(F.trim(F.regexp_replace(squeezed, "[ \n]+", " ")), F.lit(" "), F.lit("  ")), F.lit(" "))
+def canonical(text: Column) -> Column:
+    """Canonical words of a text, joined by one space, with its line breaks."""
+    out = F.concat(F.lit(" "), F.replace(F.replace(squeeze(text), F.lit("\n"), F.lit(" \n ")), F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(F.regexp_replace(out, " +", " "))
+    return F.regexp_replace(out, " +", " ")
+
+
+def one_line(canon: Column) -> Column:
+    return F.trim(F.regexp_replace(canon, "[ \n]+", " "))
 
 
-def digest(squeezed: Column) -> Column:
-    return F.sha2(respell(squeezed).cast("binary"), 256)
+def digest(line: Column) -> Column:
+    return F.sha2(line.cast("binary"), 256)
 
 
 def known_digests(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, licence, length, head) of licence texts and notices; by default those of this module. length: squeezed. head: the
-    first canonical word."""
-    known = texts if texts is not None else {k: [*NOTICES.get(k, []), *([TEXTS[k]] if k in TEXTS else [])] for k in {**NOTICES, **TEXTS}}
-    rows = spark.createDataFrame([(k, t) for k, ts in known.items() for t in ts], "licence string, text string")
-    flat = squeeze(F.col("text"))
-    return rows.select(digest(flat).alias("digest"), "licence", F.length(flat).alias("length"), F.substring_index(respell(flat), " ", 1).alias("head")).distinct()
+    """(digest, licence) of licence texts and notices; by default those of this module."""
+    rows = spark.createDataFrame([(k, t) for k, ts in (known_texts() if texts is None else texts).items() for t in ts], "licence string, text string")
+    return rows.select(digest(one_line(canonical(F.col("text")))).alias("digest"), "licence").distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Per document: doc_id, n_notices (lines that are known texts), licences (their ids and the whole text's, sorted,
     comma-joined), whole_licence (the id that the entire text is, else null).
 
-    An entire text, or an entire line of one, counts if its canonical digest is known. Canonical text shrinks or grows
-    by respelling less than threefold, so only units of up to three times the longest known text are hashed, and only
-    those that begin with the first word of a known text or another spelling of it. Null and
-    empty texts match nothing. Repeated rows stay; other columns play no part; no rows give no rows.
-    The known table is a fixed list of a few dozen rows; it is broadcast if Spark's own size check allows it.
+    Every entire text and every line with a word is digested and looked up among the known digests, which are broadcast
+    if they are measured to be small. Null and empty texts match nothing. Repeated rows stay; other columns play no
+    part; no rows give no rows.
     """
-    ends = known.agg(F.max("length"), F.collect_set("head")).first()  # of the fixed list
-    longest, heads = ends[0] or 0, set(ends[1])
-    heads |= {a for a, b in SPELLINGS.items() if b.split(" ")[0] in heads}
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    flat = base.select("doc_id", "text_hash", F.ltrim(squeeze(F.col("text"))).alias("s"))
-    fits = lambda u: F.substring_index(F.ltrim(u), " ", 1).isin(*heads) & (F.length(u) <= 3 * longest)
-    lines = F.filter(F.split("s", "\n"), fits)
-    whole = F.filter(F.array(F.regexp_replace("s", "[ \n]+", " ")), fits)
-    units = flat.select("doc_id", "text_hash", F.explode(F.concat(F.transform(whole, lambda u: F.struct(u.alias("u"), F.lit(True).alias("whole"))), F.transform(lines, lambda u: F.struct(u.alias("u"), F.lit(False).alias("whole"))))).alias("e"))
-    found = units.select("doc_id", "text_hash", "e.whole", digest(F.col("e.u")).alias("digest")).join(known.select("digest", "licence"), "digest")
-    per = found.groupBy("doc_id", "text_hash").agg(F.count(F.when(~F.col("whole"), 1)).alias("n"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), F.max(F.when(F.col("whole"), F.col("licence"))).alias("whole_licence"))
-    times = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
-    out = times.join(per.withColumnsRenamed({"doc_id": "d", "text_hash": "t"}), times.doc_id.eqNullSafe(F.col("d")) & (times.text_hash == F.col("t")), "left")
-    # Rows that repeat (doc_id, text) were counted together above.
+    known = broadcast_below(checkpoint(known.select("digest", "licence")))
+    canon = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), canonical(F.coalesce("text", F.lit(""))).alias("s"))
+    unit = lambda u, whole: F.struct(u.alias("u"), F.lit(whole).alias("whole"))
+    units = F.concat(F.array(unit(one_line(F.col("s")), True)), F.transform(F.split("s", "\n"), lambda u: unit(F.trim(u), False)))
+    units = canon.select("doc_id", "text_hash", F.explode(units).alias("e")).where("e.u <> ''")
+    found = units.select("doc_id", "text_hash", "e.whole", digest(F.col("e.u")).alias("digest")).join(known, "digest")
+    per = checkpoint(found.groupBy("doc_id", "text_hash").agg(F.count(F.when(~F.col("whole"), 1)).alias("n"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"), F.max(F.when(F.col("whole"), F.col("licence"))).alias("whole_licence")))
+    # Rows that repeat (doc_id, text) were counted together.
+    times = checkpoint(docs.select("doc_id", F.xxhash64("text").alias("text_hash")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")))
+    out = times.join(broadcast_below(per.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})), times.doc_id.eqNullSafe(F.col("d")) & (times.text_hash == F.col("t")), "left")
     out = out.select("doc_id", F.coalesce((F.col("n") / F.col("times")).cast("bigint"), F.lit(0).cast("bigint")).alias("n_notices"), F.coalesce("licences", F.lit("")).alias("licences"), "whole_licence", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_t"))
     return out.drop("_t")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() of all documents for the texts and notices of this module."""
     return scan(read_table(spark, sf_dir, "documents"), known_digests(spark))
 
 
@@ -129,7 +160,7 @@ def _sql_respell(x: str) -> str:
 
 
 def op5_sql() -> str:
-    pairs = [(k, t) for k in {**NOTICES, **TEXTS} for t in [*NOTICES.get(k, []), *([TEXTS[k]] if k in TEXTS else [])]]
+    pairs = [(k, t) for k, ts in known_texts().items() for t in ts]
     rows = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in pairs)
     return f"""
 WITH raw(licence, text) AS (VALUES {rows}),
