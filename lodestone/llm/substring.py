@@ -170,7 +170,7 @@ def later_windows(docs: DataFrame, window: int, first: int, most: int) -> DataFr
     found = checkpoint(find_windows(docs, lengths, sc.broadcast(known)))
     new = found.where("run = 0")
     earliest = checkpoint(new.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k1", "k2", "lo"))
-    after = new.join(broadcast_below(earliest, most), ["k1", "k2"]).where("doc_id > lo").select("doc_id", "place", F.lit(1).alias("run"))
+    after = new.join(earliest, ["k1", "k2"]).where("doc_id > lo").select("doc_id", "place", F.lit(1).alias("run"))
     gone = after.union(found.where("run > 0").select("doc_id", "place", "run"))
     span = F.shiftleft(F.col("place").bitwiseAND(F.lit(LOW32)), 32).bitwiseOR(F.col("run").cast("bigint"))
     out = checkpoint(gone.groupBy("doc_id", F.shiftrightunsigned("place", 32).alias("text_key")).agg(F.collect_list(span).alias("starts")))
@@ -200,8 +200,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, first: int = FIRST, mo
     full = keyed.where("doc_id is not null and text is not null")
     copies = copies_of_earlier(full, most)
     starts = later_windows(full.join(broadcast_below(copies, most), ["doc_id", "text_key"], "left_anti"), window, first, most)
+    # What is removed grows with the corpus, so windows and texts are joined by shuffles at every size.
     starts = checkpoint(starts.union(copies.select("doc_id", "text_key", F.array(F.lit(-1).cast("bigint")))))
-    joined = keyed.join(broadcast_below(starts, most), ["doc_id", "text_key"], "left").select("doc_id", "text", "starts")
+    joined = keyed.join(starts, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
