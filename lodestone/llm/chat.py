@@ -81,6 +81,7 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the one numbered -1, folded from events, formatted, read back and digested."""
     log = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return digest_chats(format_chats(fold_events(as_events(log.unionByName(probe)))))

@@ -215,6 +215,11 @@ def test_licences(spark, hard):
     rows = [(1, f"Copyright (c) 2020 A. Person\n\n{mit.upper()}"), (2, f"{mit} And more."), (3, "words\nreleased under the mit LICENCE\nRELEASED under the MIT License!"), (4, None), (4, None), (5, "Released under the MIT License."), (5, "Released under the MIT License.")]
     got = licences.scan(table(spark, rows), licences.known_digests(spark)).collect()
     assert sorted(map(tuple, got), key=lambda r: (r[0], r[1])) == [(1, 0, "MIT", "MIT"), (2, 0, "", None), (3, 2, "MIT", None), (4, 0, "", None), (4, 0, "", None), (5, 1, "MIT", "MIT"), (5, 1, "MIT", "MIT")]
+    full = licences.whole_texts()
+    assert set(full) == {"MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Apache-2.0", "GPL-3.0", "CC-BY-SA-4.0"}
+    rows = [(i, f"{t.upper()}\n\n(c) 2001 Somebody") for i, t in enumerate(t for ts in full.values() for t in ts)] + [(10**6, f"{t} x") for t in full["GPL-3.0"][:1]]
+    got = {r["doc_id"]: r["whole_licence"] for r in licences.scan(table(spark, rows), licences.known_digests(spark)).collect()}
+    assert got == dict(enumerate(k for k, ts in full.items() for _ in ts)) | {10**6: None}
     assert licences.scan(hard, licences.known_digests(spark)).count() == len(HARD)
     assert licences.scan(hard.where("false"), licences.known_digests(spark)).count() == 0
 
@@ -286,6 +291,83 @@ def test_sharding(spark, docs, hard):
     assert len(n) == 16 and max(n.values()) < 1.1 * 2500 and min(n.values()) > 0.9 * 2500
 
 
+def brute_shard(doc_id, shards, weights):
+    """The shard of a doc_id, by the draws of the tree's levels."""
+    import struct
+
+    def draw(level, names):
+        best = None
+        for name, weight in names.items():
+            h = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+            h = xxhash.xxh64_intdigest(struct.pack("<i", name), xxhash.xxh64_intdigest(level.encode(), h))
+            cost = -math.log(((h >> 11) + 0.5) / 2**53) / weight
+            best = min(best or (cost, name), (cost, name))
+        return best[1]
+
+    weigh = lambda x: sum(map(weigh, x.values())) if isinstance(x, dict) else x
+    node, path = sharding.topology(shards, weights=weights), "root"
+    while isinstance(node, dict):
+        name = draw(path, {k: weigh(v) for k, v in node.items()}) if len(node) > 1 else next(iter(node))
+        node, path, last = node[name], f"{path}/{name}", name
+    return last
+
+
+def test_sharding_by_weights(spark):
+    df = table(spark, [(i * 7919 - 50, "x") for i in range(600)] + [(None, "y")])
+    shards = {}
+    for weights in (None, {5: 3.0}, {5: 3.0, 2: 0.0}):
+        got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.place(df, weights=weights).collect()}
+        assert got == {d: (brute_shard(d, 16, weights), brute_shard(d, 17, weights)) for d in got}
+        shards[str(weights)] = {d: s for d, (s, _) in got.items()}
+    even, heavy, without = shards.values()
+    assert 2 not in without.values() and 2 in heavy.values()
+    moved = {(even[d], heavy[d]) for d in even if even[d] != heavy[d]}
+    assert moved
+    for old, new in moved:  # only into shard 5, or into its rack, or region, from outside of it
+        assert new // 4 == 1 and (old // 4 != 1 or (new // 2 == 2 and (old // 2 != 2 or new == 5)))
+    with pytest.raises(ValueError):
+        sharding.topology(2, weights={0: 0.0, 1: 0.0})
+
+
+def brute_weights(rows, prune, least):
+    """Log ratios of words and stems, by the formulas, from (text, toxic)."""
+    before = collections.defaultdict(lambda: [set(), set()])
+    for t, toxic in rows:
+        w = t.split()
+        for x, y in zip(["", *w], w, strict=False):
+            before[y][not toxic].add(x)
+    n = {w: tuple(map(len, v)) for w, v in before.items()}
+    stems = collections.defaultdict(lambda: [0, 0, 0])
+    for w, (t, o) in n.items():
+        for i, v in enumerate((t, o, 1)):
+            stems[w[:5]][i] += v
+    total = [sum(v[i] for v in n.values()) for i in (0, 1)]
+    tox = total[0] / sum(total)
+    d = toxicity.DISCOUNT
+    p = {s: [max(v[i] - d, 0) / total[i] + d * sum(x[i] > 0 for x in stems.values()) / total[i] * v[2] / len(n) for i in (0, 1)] for s, v in stems.items()}
+    tells = lambda t, o: 2 * sum(x * math.log(x / ((t + o) * q)) for x, q in ((t, tox), (o, 1 - tox)) if x) >= prune
+    words = {}
+    for w, v in n.items():
+        s = stems[w[:5]]
+        part = sum(v) / (s[0] + s[1])
+        q = [max(v[i] - d, 0) / total[i] + d * sum(x[i] > 0 for x in n.values()) / total[i] * p[w[:5]][i] * part for i in (0, 1)]
+        words[w] = (tells(*v), math.log(q[0] / q[1]))
+    stem = {s: (tells(*v[:2]), math.log(p[s][0] / p[s][1])) for s, v in stems.items()}
+    return [{k: r for k, (tell, r) in x.items() if tell and abs(r) >= least} for x in (words, stem)]
+
+
+def test_toxicity_weights(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choice(["grumox", "vilexing", "vilexed"] if i % 5 == 0 and rng.random() < 0.5 else [f"word{j}" for j in range(30)]) for _ in range(30)), i % 5 == 0) for i in range(120)]
+    types = toxicity.count_types(spark.createDataFrame(rows, "text string, toxic boolean"))
+    for prune, least in ((0.0, 0.0), (toxicity.PRUNE, toxicity.LEAST_RATIO)):  # every word has an entry; only telling ones
+        for got, want, part in zip(toxicity.weigh(types, prune, least), brute_weights(rows, prune, least), (0, 1), strict=True):
+            name = lambda w: int(toxicity.expressions([w], toxicity.fold_table())[part][0])  # noqa: B023, E731
+            assert want and {r["key"]: round(r["w"], 9) for r in got.collect()} == {name(w): round(x, 9) for w, x in want.items()}
+
+
 def test_chat(spark):
     rows = [(1, 2, "user", "<|end|> \\ \\\\ <s>[INST]"), (1, 1, "system", None), (1, 3, "assistant", "a<|sep|>\nb"), (1, 3, "assistant", "a<|sep|>\nb"), (2, None, None, "x"), (None, 1, "assistant", "é𝒳"), (3, 1, "<|start|>", "")]
     log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -323,14 +405,60 @@ def test_quality(spark, docs, hard):
         assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
-def test_kneser_ney_sums_to_one():
+def brute_perplexity(texts, order=5):
+    """Log perplexities of texts by an interpolated modified Kneser-Ney model of the same texts."""
+    lines = [list(" " * (order - 1) + re.sub("[\x20\x09-\x0d]+", " ", t or "")) for t in texts]
+    lines = [x[: order - 1] + x[order:] if x[order - 1 : order] == [" "] else x for x in lines]
+    counts = [collections.Counter(tuple(x[i - order + 1 : i + 1]) for x in lines for i in range(order - 1, len(x)))]
+    while len(counts) < order:
+        counts.insert(0, collections.Counter(g[1:] for g in counts[0]))
+    tables = []
+    for n in counts:
+        d = [0.0, *quality.discounts([sum(v == i for v in n.values()) for i in (1, 2, 3, 4)])]
+        total, left = collections.Counter(), collections.Counter()
+        for g, v in n.items():
+            total[g[:-1]] += v
+            left[g[:-1]] += d[min(v, 3)]
+        tables.append((n, d, total, left))
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[0]) + 1)
+        n, d, total, left = tables[len(g) - 1]
+        return (n[g] - d[min(n[g], 3)] + left[g[:-1]] * p(g[1:])) / total[g[:-1]]
+
+    memo = {g: -math.log(p(g)) for g in counts[-1]}
+    sums = [[memo[tuple(x[i - order + 1 : i + 1])] for i in range(order - 1, len(x))] for x in lines]
+    return [sum(s) / len(s) if s else None for s in sums]
+
+
+def test_quality_perplexity(spark, docs, hard):
+    for df, options in ((docs.where("doc_id < 60"), {}), (hard, {}), (hard, {"most": 0})):  # both sides of the broadcast
+        rows = texts(df)
+        want = sorted(((d, None if x is None else round(x, 4)) for (d, _), x in zip(rows, brute_perplexity([t for _, t in rows]), strict=True)), key=key)
+        got = sorted(((r["doc_id"], None if r["log_ppl"] is None else round(r["log_ppl"], 4)) for r in quality.judge(df, **options).collect()), key=key)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert all((a is None) == (b is None) and (a is None or abs(a - b) < 2e-3) for (_, a), (_, b) in zip(got, want, strict=True))
+
+
+def test_quality_bands(spark, docs):
+    got = quality.judge(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in {r["lang"] for r in got}:
+        fine = [r for r in got if r["lang"] == lang and not r["base_failed"]]
+        x = sorted(r["log_ppl"] for r in fine)
+        low, mid, high = (x[max(0, math.ceil(len(x) * q) - 1)] for q in (0.25, 0.5, 0.75))
+        for r in fine:
+            assert r["kept"] == (mid + quality.BAND * (low - mid) <= r["log_ppl"] <= mid + quality.BAND * (high - mid))
+
+
+def test_quality_wide_alphabets():
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, 1 << 24, 5000))
-    m = quality.KneserNey(codes, rng.integers(1, 9, len(codes)))
-    for context in [*(codes[:5] >> 6), 0, 12345]:
-        assert abs(m.prob((int(context) << 6) + np.arange(64)).sum() - 1) < 1e-9
+    text = "".join(chr(0x4E00 + i) for i in range(9000)) + " ab ab"
+    rows, which, ends = quality.ngrams(*quality.code_points([text, "", "ab"]))
+    assert ["".join(map(chr, r)) for r in rows[which[:3]]] == [f"{' ' * (4 - i)}{text[: i + 1]}" for i in range(3)]
+    assert ends.tolist() == [0, len(text), len(text), len(text) + 2] and "".join(map(chr, rows[which[-1]])) == "   ab"
+    assert len(np.unique(quality.gram_hash(*quality.two_longs(rows)))) == len(rows)
 
 
 def test_quality_rejects_noise(spark, docs, sf_dir):
