@@ -17,8 +17,8 @@ ORDER, BITS = 5, 21
 SYMBOL_MARKS = "#*$%&|<>"
 #: A kept text's log perplexity lies within BAND times the distance from its language's median to the quartile on that side.
 BAND = 10.0
-#: What counting and scoring handle at once.
-COUNT_CHARS, SCORE_CHARS = 8_000_000, 2_000_000
+#: Characters that counting and scoring handle at once; a worker holds about 100 bytes for each.
+BLOCK_CHARS = 1_000_000
 MASK = (1 << BITS) - 1
 
 
@@ -69,7 +69,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in chunks(batch.column(0), COUNT_CHARS):
+            for _, texts in chunks(batch.column(0), BLOCK_CHARS):
                 rows, which, _ = ngrams(*code_points(texts))
                 a, b = two_longs(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.bincount(which, minlength=len(rows)))], ["a", "b", "n"])
@@ -183,7 +183,7 @@ def score_texts(docs: DataFrame, model: DataFrame, most: int) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(2), SCORE_CHARS):
+            for at, texts in chunks(batch.column(2), BLOCK_CHARS):
                 cps, offsets = code_points(texts)
                 rules = text_rules(texts, cps, offsets)
                 loss, n = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64)
@@ -206,7 +206,7 @@ def score_texts(docs: DataFrame, model: DataFrame, most: int) -> DataFrame:
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(batch.column(0), SCORE_CHARS):
+            for at, texts in chunks(batch.column(0), BLOCK_CHARS):
                 rows, which, ends = ngrams(*code_points(texts))
                 if not len(rows):
                     continue
