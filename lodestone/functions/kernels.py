@@ -147,7 +147,9 @@ def big_endian_floats(data: Column) -> Column:
     def read(s: pd.Series) -> pd.Series:
         import numpy as np
 
-        return s.map(lambda b: None if b is None else np.frombuffer(b, ">f4").astype("f4"))
+        if s.isna().any() or s.str.len().nunique() != 1:  # rows of one length are read at once
+            return s.map(lambda b: None if b is None else np.frombuffer(b, ">f4").astype("f4"))
+        return pd.Series(list(np.frombuffer(b"".join(s), ">f4").astype("f4").reshape(len(s), -1)), index=s.index)
 
     return read(data)
 
@@ -189,16 +191,15 @@ def split_items(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ","), lambda x: x != F.lit("")), lambda x: F.trim(x))
 
 
-def sequence_number(name: Column) -> Column:
-    """The number after "-n" in a name, or null."""
-    return F.try_to_number(F.regexp_extract(name, r"-n(\d+)", 1), F.lit("9999999999")).cast("bigint")
+def _guarded(value: str) -> str:
+    return f"CASE WHEN size(a) = size(b) THEN {value} ELSE cast(raise_error('vector sizes do not match') AS DOUBLE) END"
 
 
 SQL_FUNCTIONS = {
-    "vec_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)",
+    "vec_dot(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": _guarded("aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"),
     "vec_length(a ARRAY<DOUBLE>) RETURNS DOUBLE": "sqrt(aggregate(transform(a, x -> x * x), 0D, (s, x) -> s + x))",
-    "vec_l2(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))",
-    "vec_l1(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "aggregate(zip_with(a, b, (x, y) -> abs(x - y)), 0D, (s, x) -> s + x)",
+    "vec_l2(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": _guarded("sqrt(aggregate(zip_with(a, b, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))"),
+    "vec_l1(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": _guarded("aggregate(zip_with(a, b, (x, y) -> abs(x - y)), 0D, (s, x) -> s + x)"),
     "vec_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "coalesce(try_divide(vec_dot(a, b), vec_length(a) * vec_length(b)), double('NaN'))",
     "vec_plane_dist(x ARRAY<DOUBLE>, n ARRAY<DOUBLE>, d DOUBLE) RETURNS DOUBLE": "(vec_dot(x, n) - d) / (vec_length(n) + 1e-12D)",
 }

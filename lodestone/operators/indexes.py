@@ -328,7 +328,8 @@ class VectorIndex:
             good = good.withColumn("partition_id", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
 
         def build(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values("id").drop_duplicates("id")
+            # Of an id that is there more than once, the smallest vector is taken in, whatever order rows come in.
+            group = group.assign(_by=group["vector"].map(tuple)).sort_values(["id", "_by"]).drop_duplicates("id")
             x = np.array(group["vector"].tolist(), float)
             part = int(group["partition_id"].iloc[0])
             arrays = config.build(x, metric, np.random.default_rng([seed, part & 0xFFFFFFFF]))

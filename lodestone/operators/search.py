@@ -40,7 +40,10 @@ def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """All distances of the rows of q to those of x."""
     if metric == "manhattan":
-        return np.abs(q[:, None, :] - x[None, :, :]).sum(2)
+        out = np.zeros((len(q), len(x)))
+        for a, b in zip(q.T, x.T, strict=True):  # a dimension at a time: nothing larger than the result
+            out += np.abs(a[:, None] - b[None, :])
+        return out
     if metric == "euclidean":
         flat = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * (q @ x.T)
         return np.sqrt(np.maximum(flat, 0))
@@ -72,50 +75,88 @@ def knn_expression(items: DataFrame, queries: DataFrame, k: int, metric: str | C
     return top_k(items.select("id", "vector").crossJoin(small).select("query_id", "id", d.alias("distance")), k)
 
 
+def pair_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of rows of q to the rows of x beside them, by differences."""
+    if metric == "euclidean":
+        return np.sqrt(((q - x) ** 2).sum(1))
+    if metric == "manhattan":
+        return np.abs(q - x).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        similar = (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
+    return similar if metric == "cosine" else 1 - similar
+
+
+class Best:
+    """The k nearest items that each query has met. A batch is measured by matrix products, and only items that may be
+    nearer than a query's k-th so far are measured again and merged."""
+
+    def __init__(self, metric: str, q: np.ndarray, k: int):
+        self.metric, self.q, self.k = metric, q, k
+        self.who, self.ids, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.limit = np.full(len(q), np.inf)
+        self.norms = np.sqrt((q * q).sum(1))
+
+    def add(self, ids: np.ndarray, x: np.ndarray, block: int = 256) -> None:
+        reach = float(np.sqrt((x * x).sum(1)).max(initial=0.0))
+        found = []
+        for at in range(0, len(self.q), block):
+            part = slice(at, at + block)
+            d = np.nan_to_num(distances(self.metric, self.q[part], x), copy=False, nan=np.inf)
+            limit = self.limit[part]
+            open_ = np.flatnonzero(np.isinf(limit))
+            if len(open_) and len(ids) > self.k:
+                limit = limit.copy()
+                limit[open_] = np.partition(d[open_], self.k - 1, axis=1)[:, self.k - 1]
+            limit = limit + 1e-9 * np.abs(np.nan_to_num(limit, posinf=0.0)) + 1e-6 * (self.norms[part] + reach + 1e-3)
+            rows, cols = np.nonzero(d <= limit[:, None])
+            found.append((rows + at, cols))
+        rows, cols = (np.concatenate(c) for c in zip(*found, strict=True))
+        if not len(rows):
+            return
+        new = np.concatenate([pair_distances(self.metric, self.q[rows[i : i + 100_000]], x[cols[i : i + 100_000]]) for i in range(0, len(rows), 100_000)])
+        who, ids, d = np.concatenate([self.who, rows]), np.concatenate([self.ids, ids[cols]]), np.concatenate([self.d, new])
+        order = np.lexsort((ids, d, who))
+        who, ids, d = who[order], ids[order], d[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        last = who[rank == self.k - 1]
+        self.limit[last] = np.nan_to_num(d[rank == self.k - 1], nan=np.inf)
+        keep = rank < self.k
+        self.who, self.ids, self.d = who[keep], ids[keep], d[keep]
+
+
 def knn_join(items: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """(query_id, id, distance, rank): the k nearest items of every query, exactly.
 
-    Blocks of queries of a bounded size go to the executors in turn. Each task meets batches of items by matrix
-    products, keeps its own k best of each query, and only these are shuffled. Candidates are taken by the matrix
-    product with a margin, and measured again by differences.
+    Blocks of queries of a bounded size go to the executors in turn. Each task meets batches of items by matrix products,
+    keeps its own k best of each query, and only these are shuffled. Items without a vector, or with one of another
+    dimension than the queries', are at no distance and are left out. A table in fewer parts than there are cores is
+    dealt out first.
     """
     space(metric)
     if k < 0:
         raise ValueError("k is negative")
     sc, found = items.sparkSession.sparkContext, None
+    items = items.select("id", "vector")
+    if items.rdd.getNumPartitions() < sc.defaultParallelism:
+        items = items.repartition(sc.defaultParallelism)
     for block in query_blocks(queries):
         shared = sc.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0)) for _ in qid]
+            best = Best(metric, q, k)
             for batch in batches:
-                ids = batch.column(0).to_numpy()
-                if not len(ids) or not k:
-                    continue
-                vectors = batch.column(1)
-                x = vectors.flatten().to_numpy().astype(float).reshape(len(ids), -1)
-                for at in range(0, len(qid), 256):
-                    d = distances(metric, q[at : at + 256], x)
-                    for i, some in enumerate(nearest(d, ids, k + 4), at):
-                        true = _exact(metric, q[i], x[some])
-                        all_ids, all_d = np.concatenate([best[i][0], ids[some]]), np.concatenate([best[i][1], true])
-                        keep = np.lexsort((all_ids, all_d))[:k]
-                        best[i] = all_ids[keep], all_d[keep]
-            n = np.array([len(b[0]) for b in best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["query_id", "id", "distance"])
-
-        part = items.select("id", "vector").mapInArrow(search, "query_id long, id long, distance double")
+                if len(batch) and k:
+                    best.add(batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().astype(float).reshape(len(batch), -1))
+            yield pa.RecordBatch.from_arrays([pa.array(qid[best.who]), pa.array(best.ids), pa.array(best.d)], ["query_id", "id", "distance"])
+
+        part = items.where(F.size("vector") == block[1].shape[1]).mapInArrow(search, "query_id long, id long, distance double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = items.sparkSession.createDataFrame([], "query_id long, id long, distance double")
     return top_k(found, k)
 
 
-def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.sqrt(((q - x) ** 2).sum(1)) if metric == "euclidean" else distances(metric, q[None], x)[0]
-
-
 def search_one(items: DataFrame, query: list[float], k: int, metric: str = "euclidean") -> DataFrame:
     """(id, distance) of the k nearest items of one query, ascending."""
     q = F.array(*(F.lit(float(x)) for x in query))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.kernels import equidistant_plane, euclidean, hash32, length, near_cell, point_plane_distance, push_both, space, uniform
+from lodestone.operators.search import distances
 
 # k-means
 
@@ -39,13 +42,36 @@ def cost(assigned: DataFrame) -> DataFrame:
 
 
 def lloyd(items: DataFrame, centroids: DataFrame, dim: int, rounds: int, metric: str = "euclidean") -> DataFrame:
-    """Centroids after some rounds. They are few, so each round's come to the driver and the next starts from them; a
-    plan that nested the rounds would scan the items twice as often with every one."""
+    """Centroids after some rounds of assign(), update() and keep_empty(), by matrix products over Arrow batches.
+
+    A task sends a row of counts and sums for each cell. The centroids are few, so each round's come to the driver and
+    the next starts from them; a plan that nested the rounds would scan the items twice as often with every one. Items
+    without a vector of this dimension are left out.
+    """
     spark = items.sparkSession
-    for _ in range(rounds):
-        moved = keep_empty(centroids, update(assign(items, centroids, metric), dim))
-        centroids = spark.createDataFrame(moved.collect(), moved.schema)
-    return centroids
+    start = sorted((r["cell"], r["centroid"]) for r in centroids.select("cell", "centroid").collect())
+    cells, means = [c for c, _ in start], np.array([v for _, v in start], float).reshape(len(start), dim)
+    vectors = items.select("vector").where(F.size("vector") == dim)
+    for _ in range(rounds if cells else 0):
+        shared = spark.sparkContext.broadcast(means)
+
+        def tally(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            n, sums = np.zeros(len(m), np.int64), np.zeros(m.shape)
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy().astype(float).reshape(len(batch), -1)
+                cell = distances(metric, x, m).argmin(1) if len(x) else np.zeros(0, int)
+                n += np.bincount(cell, minlength=len(m))
+                np.add.at(sums, cell, x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(m))), pa.array(n), pa.array(list(sums))], ["at", "n", "sums"])
+
+        parts = vectors.mapInArrow(tally, "at long, n long, sums array<double>")
+        total = parts.groupBy("at").agg(F.sum("n").alias("n"), *(F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(dim))).collect()
+        means = means.copy()
+        for r in total:
+            if r["n"]:
+                means[r["at"]] = np.array(r[2:]) / r["n"]
+    return spark.createDataFrame(list(zip(cells, means.tolist(), strict=True)), centroids.select("cell", "centroid").schema)
 
 
 def weighted_pick(weighted: DataFrame, tag: str) -> DataFrame:
@@ -132,8 +158,4 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree"))
 
 
-def chain(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-__all__ = ["assign", "chain", "cost", "degrees", "euclidean", "greedy_step", "keep_empty", "lloyd", "near_cells", "pivots", "prune", "race_pick", "select_nearest", "sides", "split", "symmetric", "two_hop", "update", "weighted_pick"]
+__all__ = ["assign", "cost", "degrees", "euclidean", "greedy_step", "keep_empty", "lloyd", "near_cells", "pivots", "prune", "race_pick", "select_nearest", "sides", "split", "symmetric", "two_hop", "update", "weighted_pick"]

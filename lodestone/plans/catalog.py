@@ -57,7 +57,11 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = root or spark.conf.get("spark.lodestone.indices.path", "/tmp/lodestone")
+        self.root = root or spark.conf.get("spark.lodestone.indices.path", None)
+        if not self.root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.lodestone.indices.path to a folder that all executors share")
+            self.root = "/tmp/lodestone"
         self.loaded: dict[str, VectorIndex] = {}
 
     def _table(self, name: str, rows: list | None = None, schema: str = "") -> list:
@@ -99,10 +103,14 @@ class Catalog:
         self._table("datasets", [*(asdict(d) for d in self.list()), asdict(dataset)])
 
     def delete(self, name: str) -> None:
+        """Forget a dataset, first its entry, then its partitions and its index, so that a failure leaves nothing listed."""
         self.get(name)
-        self._table("partitions", [p for p in self._table("partitions") if p["dataset"] != name])
-        self._table("datasets", [asdict(d) for d in self.list() if d.name != name])
+        path = self._index_path(name)
         self.unload(name)
+        self._table("datasets", [asdict(d) for d in self.list() if d.name != name])
+        self._table("partitions", [p for p in self._table("partitions") if p["dataset"] != name])
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     def partitions(self, name: str) -> list[dict]:
         self.get(name)
@@ -117,12 +125,15 @@ class Catalog:
         placed = found.withColumn("file", tail(F.col("file"))).withColumn("line", F.monotonically_increasing_id()).join(F.broadcast(where.withColumn("file", tail(F.col("file")))), "file")
         return accept(placed, dataset.size, ["file", "line"], ["partition_id"]).select("partition_id", "id", "vector")
 
+    def _index_path(self, name: str) -> str:
+        key = hashlib.sha256("".join(index_key(name, p["id"], p["files"]) for p in self.partitions(name)).encode()).hexdigest()
+        return f"{self.root}/indexes/{key}"
+
     def index(self, name: str) -> VectorIndex:
         """The dataset's index, read if it was written under the same files, else built and written."""
         if name not in self.loaded:
             dataset = self.get(name)
-            key = hashlib.sha256("".join(index_key(name, p["id"], p["files"]) for p in self.partitions(name)).encode()).hexdigest()
-            path = f"{self.root}/indexes/{key}"
+            path = self._index_path(name)
             if not exists(self.spark, f"{path}/about"):
                 VectorIndex.fit(self.items(name), KINDS[dataset.index](**json.loads(dataset.options)), dataset.size, dataset.metric).save(path)
             self.loaded[name] = VectorIndex.load(self.spark, path).persist()

@@ -39,6 +39,11 @@ def queries_below(df: DataFrame, n: int) -> DataFrame:
     return df.where(C("id") < n).select(C("id").alias("query_id"), "vector")
 
 
+def every_hundredth(df: DataFrame) -> DataFrame:
+    """The queries of all searches: every row whose id 100 divides."""
+    return df.where(C("id") % 100 == 0).select(C("id").alias("query_id"), "vector")
+
+
 def anchor(df: DataFrame, i: int = 0) -> DataFrame:
     """Every item beside item i, one broadcast row."""
     return df.crossJoin(F.broadcast(df.where(C("id") == i).select(C("vector").alias("a"))))
@@ -171,7 +176,7 @@ def halfspace_counts(spark, sf):
     return df.crossJoin(plane01(df)).groupBy(F.when(d <= 0, "left").otherwise("right").alias("side")).agg(F.count("*").alias("n"))
 
 
-def _knn_sql(d: str, where: str = "TRUE", q: str = "id < 10", k: int = 10) -> str:
+def _knn_sql(d: str, where: str = "TRUE", q: str = "id % 100 = 0", k: int = 10) -> str:
     return f"""WITH {_BASE}, q AS (SELECT id AS query_id, v AS w FROM e WHERE {q}),
 r AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT query_id, id, {d} AS distance FROM e, q WHERE {where}))
 SELECT query_id, id, round(distance, 6) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {k}"""
@@ -187,12 +192,12 @@ for _name, _sql in (("euclidean", _l2("w", "v")), ("manhattan", _l1("w", "v")),
     @query(_knn_sql(_sql), f"knn_{_name}")
     def _(spark, sf, metric=_name):
         df = items(spark, sf)
-        return rounded(search.knn_expression(df, queries_below(df, 10), 10, metric))
+        return rounded(search.knn_expression(df, every_hundredth(df), 10, metric))
 
     @query(_knn_sql(_sql), f"knn_join_{_name}")
     def _(spark, sf, metric=_name):
         df = items(spark, sf)
-        return rounded(search.knn_join(df, queries_below(df, 10), 10, metric))
+        return rounded(search.knn_join(df, every_hundredth(df), 10, metric))
 
 
 @query(f"WITH {_BASE} SELECT b.id, round({_l2('a.v', 'b.v')}, 6) AS distance FROM e a, e b WHERE a.id = 7 ORDER BY {_l2('a.v', 'b.v')}, b.id LIMIT 10")
@@ -209,20 +214,20 @@ def parted(df: DataFrame) -> DataFrame:
 @query(_knn_sql(_l2("w", "v")))
 def knn_partitioned_merge(spark, sf):
     df = parted(items(spark, sf))
-    return rounded(search.partitioned_top_k(df, queries_below(df, 10), 10))
+    return rounded(search.partitioned_top_k(df, every_hundredth(df), 10))
 
 
 @query(_knn_sql(_l2("w", "v"), "id % 4 IN (0, 2)"))
 def search_partitions(spark, sf):
     df = parted(items(spark, sf))
-    return rounded(search.search_partitions(df, queries_below(df, 10), 10, [0, 2]))
+    return rounded(search.search_partitions(df, every_hundredth(df), 10, [0, 2]))
 
 
 @query(f"""WITH t AS ({_knn_sql(_l2('w', 'v'))}), s AS ({_knn_sql(_l2('w', 'v'), 'id % 4 IN (0, 2)')})
 SELECT query_id, count(s.id) / count(*)::DOUBLE AS recall FROM t LEFT JOIN s USING (query_id, id) GROUP BY query_id""")
 def recall_at_k(spark, sf):
     df = parted(items(spark, sf))
-    q = queries_below(df, 10)
+    q = every_hundredth(df)
     return search.recall(search.search_partitions(df, q, 10, [0, 2]), search.knn_expression(df, q, 10))
 
 
@@ -230,7 +235,7 @@ def recall_at_k(spark, sf):
 SELECT avg(r) AS recall FROM (SELECT query_id, count(s.id) / count(*)::DOUBLE AS r FROM t LEFT JOIN s USING (query_id, id) GROUP BY query_id)""")
 def mean_recall(spark, sf):
     df = parted(items(spark, sf))
-    q = queries_below(df, 10)
+    q = every_hundredth(df)
     return search.mean_recall(search.search_partitions(df, q, 10, [0, 2]), search.knn_expression(df, q, 10))
 
 
@@ -260,12 +265,12 @@ def set_changes(spark, sf):
     return s.select("label", sets.render(C("a")).alias("text"))
 
 
-_CAND = "c AS (SELECT q.id AS query_id, e.id FROM e q JOIN e ON e.label = q.label WHERE q.id < 10)"
+_CAND = "c AS (SELECT q.id AS query_id, e.id FROM e q JOIN e ON e.label = q.label WHERE q.id % 100 = 0)"
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    q = df.where("id < 10").select(C("id").alias("query_id"), "label")
-    return df.select("id", "label").join(F.broadcast(q), "label").select("query_id", "id")
+    q = df.where("id % 100 = 0").select(C("id").alias("query_id"), "label")
+    return df.select("id", "label").join(q, "label").select("query_id", "id")
 
 
 @query(f"""WITH {_BASE}, {_CAND}, r AS (SELECT c.query_id, c.id, {_l2('q.v', 'x.v')} AS distance FROM c JOIN e q ON q.id = c.query_id JOIN e x ON x.id = c.id),
@@ -274,7 +279,7 @@ SELECT query_id, id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS ra
 def rerank(spark, sf):
     df = items(spark, sf)
     c = candidates(df)
-    return rounded(search.rerank(c.union(c), df, queries_below(df, 10), 5))
+    return rounded(search.rerank(c.union(c), df, every_hundredth(df), 5))
 
 
 @query(f"WITH {_BASE}, {_CAND} SELECT query_id, count(DISTINCT id) AS n FROM c GROUP BY query_id")
@@ -471,15 +476,15 @@ def hnsw_levels(spark, sf):
     return items(spark, sf).select("id", K.graph_level("level", C("id"), 1 / math.log(16)).alias("level"))
 
 
-def knn_graph(spark, sf, n: int = 100, m: int = 8) -> DataFrame:
-    """(src, dst, distance): edges of the first n items to their nearest ones among themselves."""
-    df = items(spark, sf).where(C("id") < n)
-    d = search.knn_join(df, queries_below(df, n), m + 1)
+def knn_graph(spark, sf, m: int = 8) -> DataFrame:
+    """(src, dst, distance): edges of all items to their nearest ones."""
+    df = items(spark, sf)
+    d = search.knn_join(df, df.select(C("id").alias("query_id"), "vector"), m + 1)
     return d.where("query_id <> id").select(C("query_id").alias("src"), C("id").alias("dst"), "distance")
 
 
 _GRAPH = f"""WITH {_BASE}, g AS MATERIALIZED (SELECT src, dst, distance FROM (SELECT src, dst, distance, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS r
-  FROM (SELECT a.id AS src, b.id AS dst, {_l2('a.v', 'b.v')} AS distance FROM e a, e b WHERE a.id < 100 AND b.id < 100)) WHERE r <= 9 AND src <> dst)"""
+  FROM (SELECT a.id AS src, b.id AS dst, {_l2('a.v', 'b.v')} AS distance FROM e a, e b)) WHERE r <= 9 AND src <> dst)"""
 _NEAR = "(SELECT src, dst, distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS r FROM {}) WHERE r <= {})"
 _SYM = "(SELECT src, dst, distance FROM g UNION SELECT dst, src, distance FROM g)"
 
@@ -499,12 +504,12 @@ def hnsw_two_hop(spark, sf):
     return steps.two_hop(knn_graph(spark, sf))
 
 
-@query(f"""{_GRAPH}, f AS (SELECT id AS query_id, v AS q, 0 AS vertex FROM e WHERE id BETWEEN 200 AND 249), n AS (SELECT query_id, q, vertex FROM f UNION SELECT query_id, q, dst FROM f JOIN g ON src = vertex),
+@query(f"""{_GRAPH}, f AS (SELECT id AS query_id, v AS q, 0 AS vertex FROM e WHERE id % 100 = 0), n AS (SELECT query_id, q, vertex FROM f UNION SELECT query_id, q, dst FROM f JOIN g ON src = vertex),
 d AS (SELECT query_id, vertex, {_l2('q', 'v')} AS distance FROM n JOIN e ON e.id = vertex)
 SELECT query_id, vertex, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vertex) AS r FROM d) WHERE r = 1""")
 def hnsw_greedy_step(spark, sf):
     df = items(spark, sf)
-    f = df.where("id between 200 and 249").select(C("id").alias("query_id"), "vector", F.lit(0).cast("bigint").alias("vertex"))
+    f = df.where("id % 100 = 0").select(C("id").alias("query_id"), "vector", F.lit(0).cast("bigint").alias("vertex"))
     return steps.greedy_step(f, knn_graph(spark, sf), df).select("query_id", "vertex", F.round("distance", 6).alias("distance"))
 
 
@@ -519,10 +524,6 @@ def held_out(spark, sf) -> tuple[DataFrame, DataFrame]:
     return df.where("id >= 100"), queries_below(df, 100)
 
 
-def every_hundredth(df: DataFrame) -> DataFrame:
-    return df.where(C("id") % 100 == 0).select(C("id").alias("query_id"), "vector")
-
-
 def _search(config):
     def run(spark, sf):
         df = items(spark, sf)
@@ -594,17 +595,16 @@ def rebalance(spark, sf):
 SELECT query_id, label, votes FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, label) AS r FROM v) WHERE r = 1""")
 def label_knn_vote(spark, sf):
     df = items(spark, sf)
-    return search.label_vote(search.knn_expression(df, queries_below(df, 10), 10), df.select("id", "label"))
+    return search.label_vote(search.knn_expression(df, every_hundredth(df), 10), df.select("id", "label"))
 
 
-_LV = "[l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100]"
+_LI = "SELECT l_orderkey * 7 + l_linenumber - 1 AS id, l_quantity::DOUBLE AS a, l_extendedprice::DOUBLE / 1000 AS b, l_discount::DOUBLE * 100 AS c, l_tax::DOUBLE * 100 AS d FROM lineitem"
 
 
-@query(f"""WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS id, {_LV} AS v FROM lineitem), q AS (SELECT id AS query_id, v AS w FROM e WHERE id < 50),
-r AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT query_id, id, {_l2('w', 'v')} AS distance FROM e, q))
-SELECT query_id, id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+@query(f"""WITH e AS ({_LI}), r AS (SELECT q.id AS query_id, e.id, sqrt((q.a - e.a) * (q.a - e.a) + (q.b - e.b) * (q.b - e.b) + (q.c - e.c) * (q.c - e.c) + (q.d - e.d) * (q.d - e.d)) AS distance FROM e, e q WHERE q.id % 100 = 0),
+s AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM r)
+SELECT query_id, id, round(distance, 6) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM s WHERE rank <= 10""")
 def knn_lineitem(spark, sf):
-    df = spark.read.parquet(f"{sf}/lineitem.parquet").select((C("l_orderkey") * 10 + C("l_linenumber")).alias("id"), F.array("l_quantity", C("l_extendedprice") / 1000, C("l_discount") * 100, C("l_tax") * 100).alias("vector"))
-    return rounded(search.knn_expression(df, df.where("id < 50").select(C("id").alias("query_id"), "vector"), 10, K.unrolled("euclidean", 4)(C("q_vector"), C("vector"))))
-
-
+    values = [C("l_quantity").cast("double"), C("l_extendedprice").cast("double") / 1000, C("l_discount").cast("double") * 100, C("l_tax").cast("double") * 100]
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select((C("l_orderkey") * 7 + C("l_linenumber") - 1).alias("id"), F.array(*values).alias("vector"))
+    return rounded(search.knn_join(df, every_hundredth(df), 10))

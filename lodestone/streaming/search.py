@@ -1,4 +1,4 @@
-"""Searches of a stream of queries, and a best-of list that follows a stream of results."""
+"""Searches of a stream of queries."""
 
 from __future__ import annotations
 
