@@ -14,7 +14,8 @@ STAGES = [
     ("decontamination", stages.drop_contaminated),
     ("packing", stages.pack),
 ]
-#: The first stage's model, the components and the token ids are beyond SQL; tests hold the stages to brute force.
+#: The first stage's model, the components and the token ids are beyond SQL. Tests hold line dedup, near-duplicates and
+#: decontamination to brute force, the first stage to its operator's predictions, and the last to its contract.
 ORACLE_SQL = None
 
 
