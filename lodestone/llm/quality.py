@@ -34,18 +34,26 @@ def ngrams(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     kept = np.zeros(len(cps) + 1, np.int64)
     np.cumsum(keep, out=kept[1:])
     ends = kept[offsets]
-    letters = np.union1d(sym, [32]).astype(np.uint32)
+    seen = np.zeros(max(32, int(sym.max(initial=0))) + 1, bool)
+    seen[sym], seen[32] = True, True
+    letters = np.flatnonzero(seen).astype(np.uint32)
+    rank = np.zeros(len(seen), np.uint32)
+    rank[letters] = np.arange(len(letters))
     bits = max(1, int(len(letters) - 1).bit_length())
     pad = ORDER - 1
     places = np.arange(len(sym)) + np.repeat(np.arange(1, len(ends)) * pad, np.diff(ends))
-    padded = np.full(len(sym) + (len(ends) - 1) * pad + 1, np.searchsorted(letters, 32), np.uint64)
-    padded[places] = np.searchsorted(letters, sym)
+    padded = np.full(len(sym) + (len(ends) - 1) * pad + 1, rank[32], np.uint64)
+    padded[places] = rank[sym]
     if bits * ORDER <= 64:
         codes = np.zeros(len(sym), np.uint64)
         for k in range(ORDER):
             codes |= padded[places - k] << np.uint64(bits * k)
-        kinds = np.unique(codes)
-        which = np.searchsorted(kinds, codes)
+        order = np.argsort(codes)
+        inside = codes[order]
+        begins = np.ones(len(codes), bool)
+        begins[1:] = inside[1:] != inside[:-1]
+        kinds, which = inside[begins], np.empty(len(codes), np.int64)
+        which[order] = np.cumsum(begins) - 1
         parts = [(kinds >> np.uint64(bits * k)) & np.uint64((1 << bits) - 1) for k in reversed(range(ORDER))]
         rows = letters[np.column_stack(parts).astype(np.int64)] if len(kinds) else np.zeros((0, ORDER), np.uint32)
     else:  # thousands of different symbols at once
