@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators.indexes import KINDS, VectorIndex
+from lodestone.operators.indexes import INDEX_SCHEMA, KINDS, VectorIndex
 from lodestone.operators.search import knn_join
-from lodestone.sources.items import accept, exists, list_files, read_items
+from lodestone.sources.items import accept, delete_path, exists, list_files, publish, read_items, seconds_old, write_file
 
 
 class DatasetNotFound(LookupError):
@@ -53,41 +57,57 @@ def index_key(name: str, partition_id: int, files: list[str]) -> str:
 
 
 class Catalog:
-    """Tables of datasets and of their partitions under a folder, and the indexes beside them."""
+    """Datasets and the indexes of their partitions, under a folder.
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    A dataset is one file, which holds its partitions too and gets its name when it is whole, so a dataset is there with
+    all of them or not at all. An index belongs to one partition and its files; it too gets its name when it is whole.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, lease: float = 600):
+        """lease: seconds for which one session waits for another that builds the same dataset's indexes."""
         self.spark = spark
         self.root = root or spark.conf.get("spark.lodestone.indices.path", None)
         if not self.root:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.lodestone.indices.path to a folder that all executors share")
             self.root = "/tmp/lodestone"
+        self.lease = lease
         self.loaded: dict[str, VectorIndex] = {}
 
-    def _table(self, name: str, rows: list | None = None, schema: str = "") -> list:
-        path = f"{self.root}/{name}"
-        if rows is not None:
-            self.spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").coalesce(1).write.mode("overwrite").text(path)
+    def _entry(self, name: str) -> str:
+        return f"{self.root}/datasets/{hashlib.sha256(name.encode()).hexdigest()}.json"
+
+    def _entries(self, path: str) -> list[dict]:
         if not exists(self.spark, path):
             return []
         return [json.loads(r[0]) for r in self.spark.read.text(path).collect()]  # of datasets, not of items
 
+    def _store(self, dataset: Dataset, partitions: list[dict], replace: bool) -> bool:
+        draft = f"{self.root}/drafts/{uuid.uuid4().hex}"
+        write_file(self.spark, draft, json.dumps({"dataset": asdict(dataset), "partitions": partitions}))
+        stored = publish(self.spark, draft, self._entry(dataset.name), replace)
+        if not stored:
+            delete_path(self.spark, draft)
+        return stored
+
     def list(self) -> list[Dataset]:
-        return [Dataset(**r) for r in sorted(self._table("datasets"), key=lambda r: r["name"])]
+        return sorted((Dataset(**e["dataset"]) for e in self._entries(f"{self.root}/datasets/*.json")), key=lambda d: d.name)
 
     def as_table(self) -> DataFrame:
         fields = {"int": T.IntegerType(), "str": T.StringType()}
         schema = T.StructType([T.StructField(n, fields[f.type]) for n, f in Dataset.__dataclass_fields__.items()])
         return self.spark.createDataFrame([tuple(asdict(d).values()) for d in self.list()], schema)
 
-    def get(self, name: str) -> Dataset:
-        for d in self.list():
-            if d.name == name:
-                return d
+    def _find(self, name: str) -> dict:
+        for entry in self._entries(self._entry(name)):
+            return entry
         raise DatasetNotFound(name)
 
+    def get(self, name: str) -> Dataset:
+        return Dataset(**self._find(name)["dataset"])
+
     def create(self, dataset: Dataset) -> None:
-        if any(d.name == dataset.name for d in self.list()):
+        if exists(self.spark, self._entry(dataset.name)):
             raise DatasetExists(dataset.name)
         if dataset.index not in KINDS:
             raise ValueError(f"unknown index {dataset.index!r}; there are {', '.join(KINDS)}")
@@ -98,45 +118,88 @@ class Catalog:
         parts: dict[int, list[str]] = {}
         for f, p in planned.collect():
             parts.setdefault(p, []).append(f)
-        rows = [{"dataset": dataset.name, "id": p, "files": sorted(fs)} for p, fs in sorted(parts.items())]
-        self._table("partitions", [*self._table("partitions"), *rows])
-        self._table("datasets", [*(asdict(d) for d in self.list()), asdict(dataset)])
+        if not self._store(dataset, [{"id": p, "files": sorted(fs)} for p, fs in sorted(parts.items())], replace=False):
+            raise DatasetExists(dataset.name)  # by another session, meanwhile
+
+    def refresh(self, name: str) -> None:
+        """Follow the files: those that went leave their partition, those that came make a new one. Partitions whose files
+        stayed keep their index."""
+        dataset, before = self.get(name), self.partitions(name)
+        files = set(list_files(self.spark, dataset.path))
+        after = [p | {"files": [f for f in p["files"] if f in files]} for p in before]
+        came = sorted(files - {f for p in before for f in p["files"]})
+        after = [p for p in after if p["files"]] + ([{"id": max(p["id"] for p in before) + 1, "files": came}] if came else [])
+        dataset.num_partitions = len(after)
+        self.unload(name)
+        self._store(dataset, after, replace=True)
+        for path in {self._index_path(name, p) for p in before} - {self._index_path(name, p) for p in after}:
+            delete_path(self.spark, path)
 
     def delete(self, name: str) -> None:
-        """Forget a dataset, first its entry, then its partitions and its index, so that a failure leaves nothing listed."""
-        self.get(name)
-        path = self._index_path(name)
+        """Forget a dataset, first its entry, then its indexes, so that a failure leaves nothing listed."""
+        paths = [self._index_path(name, p) for p in self.partitions(name)]
         self.unload(name)
-        self._table("datasets", [asdict(d) for d in self.list() if d.name != name])
-        self._table("partitions", [p for p in self._table("partitions") if p["dataset"] != name])
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        for path in [self._entry(name), *paths]:
+            delete_path(self.spark, path)
 
     def partitions(self, name: str) -> list[dict]:
-        self.get(name)
-        return [p for p in self._table("partitions") if p["dataset"] == name]
+        return self._find(name)["partitions"]
 
-    def items(self, name: str) -> DataFrame:
+    def items(self, name: str, partitions: list[int] | None = None) -> DataFrame:
         """(partition_id, id, vector) that the indexes take in: in each partition the first of an id, of the right size."""
-        dataset, found = self.get(name), None
-        where = self.spark.createDataFrame([(f, p["id"]) for p in self.partitions(name) for f in p["files"]], "file string, partition_id int")
-        found = read_items(self.spark, [r["file"] for r in where.collect()], dataset.format)
+        dataset = self.get(name)
+        pairs = [(f, p["id"]) for p in self.partitions(name) for f in p["files"] if partitions is None or p["id"] in partitions]
+        where = self.spark.createDataFrame(pairs, "file string, partition_id int")
+        found = read_items(self.spark, [f for f, _ in pairs], dataset.format)
         tail = lambda c: F.regexp_replace(c, "^file:/*", "/")
         placed = found.withColumn("file", tail(F.col("file"))).withColumn("line", F.monotonically_increasing_id()).join(F.broadcast(where.withColumn("file", tail(F.col("file")))), "file")
         return accept(placed, dataset.size, ["file", "line"], ["partition_id"]).select("partition_id", "id", "vector")
 
-    def _index_path(self, name: str) -> str:
-        key = hashlib.sha256("".join(index_key(name, p["id"], p["files"]) for p in self.partitions(name)).encode()).hexdigest()
-        return f"{self.root}/indexes/{key}"
+    def _index_path(self, name: str, partition: dict) -> str:
+        return f"{self.root}/indexes/{index_key(name, partition['id'], partition['files'])}"
+
+    @contextmanager
+    def _building(self, name: str) -> Iterator[None]:
+        """Hold the dataset's lock, once no other session has held it for less than the lease."""
+        lock = f"{self.root}/locks/{hashlib.sha256(name.encode()).hexdigest()}"
+        while not write_file(self.spark, lock, "building"):
+            age = seconds_old(self.spark, lock)
+            if age is not None and age > self.lease:
+                delete_path(self.spark, lock)
+            else:
+                time.sleep(1)
+        try:
+            yield
+        finally:
+            delete_path(self.spark, lock)
+
+    def build(self, name: str) -> list[int]:
+        """Build the indexes that partitions lack, all in one job, and return those partitions."""
+        lacking = lambda: [p for p in self.partitions(name) if not exists(self.spark, self._index_path(name, p))]
+        if not lacking():
+            return []
+        with self._building(name):
+            missing = lacking()  # another session may have built them meanwhile
+            if not missing:
+                return []
+            dataset, draft = self.get(name), f"{self.root}/drafts/{uuid.uuid4().hex}"
+            made = VectorIndex.fit(self.items(name, [p["id"] for p in missing]), KINDS[dataset.index](**json.loads(dataset.options)), dataset.size, dataset.metric)
+            made.rows.withColumn("folder", F.col("partition_id")).write.partitionBy("folder").parquet(draft)
+            for p in missing:
+                if exists(self.spark, f"{draft}/folder={p['id']}"):
+                    publish(self.spark, f"{draft}/folder={p['id']}", self._index_path(name, p))
+                else:  # a partition without items
+                    write_file(self.spark, f"{self._index_path(name, p)}/_empty", "")
+            delete_path(self.spark, draft)
+            return [p["id"] for p in missing]
 
     def index(self, name: str) -> VectorIndex:
-        """The dataset's index, read if it was written under the same files, else built and written."""
+        """The dataset's index: partitions' indexes are read if they were built under the same files, else built and kept."""
         if name not in self.loaded:
+            self.build(name)
             dataset = self.get(name)
-            path = self._index_path(name)
-            if not exists(self.spark, f"{path}/about"):
-                VectorIndex.fit(self.items(name), KINDS[dataset.index](**json.loads(dataset.options)), dataset.size, dataset.metric).save(path)
-            self.loaded[name] = VectorIndex.load(self.spark, path).persist()
+            rows = self.spark.read.schema(INDEX_SCHEMA).parquet(*(self._index_path(name, p) for p in self.partitions(name)))
+            self.loaded[name] = VectorIndex(KINDS[dataset.index](**json.loads(dataset.options)), dataset.metric, dataset.size, rows).persist()
         return self.loaded[name]
 
     def unload(self, name: str | None = None) -> None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +93,54 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for _, s in found)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder, if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def publish(spark: SparkSession, source: str, target: str, replace: bool = False) -> bool:
+    """Move a finished file or folder to its name at once. False, and nothing moved, if the name is taken and stays."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    old, new = (jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(new.getParent())
+    rename = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()
+    options = gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), int(replace))
+    if replace:
+        options[0] = next(x for x in rename if x.name() == "OVERWRITE")
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(fs.makeQualified(old), fs.makeQualified(new), options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def write_file(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a small file; False if it is there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(place, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def seconds_old(spark: SparkSession, path: str) -> float | None:
+    """Seconds since a path was written; None if there is none."""
+    found = _matches(spark, path)
+    return max(0.0, time.time() - found[0][1].getModificationTime() / 1000) if found else None
+
+
 # What an index accepts.
 
 

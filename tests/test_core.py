@@ -1,5 +1,6 @@
 """Golden values of kernels and structures, invariants of indexes, and every query against its SQL."""
 
+import glob
 import json
 import math
 import os
@@ -203,10 +204,42 @@ def test_catalog(spark, points, tmp_path):
         c.search("points", q, 5, [7])
     again = catalog.Catalog(spark, f"{tmp_path}/catalog")
     assert sorted(map(tuple, again.search("points", q, 5).collect())) == sorted(map(tuple, near.collect()))
-    path = c._index_path("points")
-    assert os.path.exists(path)
+    paths = [c._index_path("points", p) for p in c.partitions("points")]
+    ages = [os.path.getmtime(p) for p in paths]
+    assert c.build("points") == []
+    # A file that comes makes a partition of its own, and the others keep their indexes; one that goes rebuilds its own.
+    more = df.where("id < 60").select((F.col("id") + 10_000).alias("id"), "vector").coalesce(1)
+    source.write_items(more, f"{tmp_path}/more", "csv")
+    os.rename(next(glob.iglob(f"{tmp_path}/more/part-*")), f"{tmp_path}/part-9.csv")
+    c.refresh("points")
+    assert c.build("points") == [2] and [os.path.getmtime(p) for p in paths] == ages
+    assert c.items("points").count() == 560 and c.get("points").num_partitions == 3
+    assert {r["id"] >= 10_000 for r in c.search("points", q, 5, [2]).collect()} == {True}
+    os.remove(f"{tmp_path}/part-9.csv")
+    c.refresh("points")
+    assert c.build("points") == [] and len(c.partitions("points")) == 2
     c.delete("points")
-    assert c.list() == [] and not os.path.exists(path)
+    assert c.list() == [] and not any(map(os.path.exists, paths)) and os.listdir(f"{tmp_path}/catalog/indexes") == []
+
+
+def test_catalog_locks(spark, points, tmp_path):
+    (tmp_path / "part-0.csv").write_text("".join(f"{a},{','.join(map(str, v))}\n" for a, v in points[0][:40]))
+    (tmp_path / "part-1.csv").write_text("")
+    c = catalog.Catalog(spark, f"{tmp_path}/catalog", lease=0.5)
+    c.create(catalog.Dataset("a", f"{tmp_path}/part-*", 2, 8, index="btree"))
+    # A lock that a lost session left behind is taken over after the lease; none is left by a build or by its failure.
+    with c._building("a"):
+        assert c.build("a") == [0, 1]
+    assert os.listdir(f"{tmp_path}/catalog/locks") == [] and c.build("a") == []
+    assert c.index("a").rows.count() == 1  # of the partition that holds items
+    with pytest.raises(ZeroDivisionError), c._building("a"):
+        1 / 0
+    assert os.listdir(f"{tmp_path}/catalog/locks") == []
+    # What is there is not replaced, unless that is asked for.
+    one, two = f"{tmp_path}/one", f"{tmp_path}/two"
+    assert source.write_file(spark, one, "1") and not source.write_file(spark, one, "x") and source.write_file(spark, two, "2")
+    assert not source.publish(spark, one, two) and open(two).read() == "2"
+    assert source.publish(spark, one, two, replace=True) and open(two).read() == "1" and not os.path.exists(one)
 
 
 def test_streaming_and_sql(spark, points, tmp_path):
