@@ -13,6 +13,8 @@ from lodestone.functions.kernels import space
 
 #: A block of queries that is sent to every executor holds so many values at most: 32 MB of doubles.
 BLOCK_VALUES = 4_000_000
+#: Metrics that are measured by matrix products; those registered besides are measured by their expressions.
+BY_PRODUCTS = ("euclidean", "manhattan", "cosine", "cosine_distance")
 
 
 def top_k(results: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -130,7 +132,7 @@ def knn_join(items: DataFrame, queries: DataFrame, k: int, metric: str = "euclid
     Blocks of queries of a bounded size go to the executors in turn. Each task meets batches of items by matrix products,
     keeps its own k best of each query, and only these are shuffled. Items without a vector, or with one of another
     dimension than the queries', are at no distance and are left out. A table in fewer parts than there are cores is
-    dealt out first.
+    dealt out first. A metric of register_space is measured by its expression, block by block too.
     """
     space(metric)
     if k < 0:
@@ -140,6 +142,12 @@ def knn_join(items: DataFrame, queries: DataFrame, k: int, metric: str = "euclid
     if items.rdd.getNumPartitions() < sc.defaultParallelism:
         items = items.repartition(sc.defaultParallelism)
     for block in query_blocks(queries):
+        same = items.where(F.size("vector") == block[1].shape[1])
+        if metric not in BY_PRODUCTS:
+            asked = pa.table({"query_id": block[0].astype(np.int64), "vector": list(block[1])})
+            part = knn_expression(same, items.sparkSession.createDataFrame(asked), k, metric).drop("rank")
+            found = part if found is None else found.unionByName(part)
+            continue
         shared = sc.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -150,7 +158,7 @@ def knn_join(items: DataFrame, queries: DataFrame, k: int, metric: str = "euclid
                     best.add(batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().astype(float).reshape(len(batch), -1))
             yield pa.RecordBatch.from_arrays([pa.array(qid[best.who]), pa.array(best.ids), pa.array(best.d)], ["query_id", "id", "distance"])
 
-        part = items.where(F.size("vector") == block[1].shape[1]).mapInArrow(search, "query_id long, id long, distance double")
+        part = same.mapInArrow(search, "query_id long, id long, distance double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = items.sparkSession.createDataFrame([], "query_id long, id long, distance double")

@@ -173,6 +173,25 @@ def test_indexes(spark, points, tmp_path, config):
     assert {r["id"] % 1 for r in index.search(q, 3, [0]).collect()} == {0} and index.search(q, 0).count() == 0
 
 
+def test_registered_space(spark, points):
+    rows, df = points
+    K.register_space("chebyshev", lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))))
+    try:
+        q = df.where("id < 3").select(F.col("id").alias("query_id"), "vector")
+        got = search.knn_join(df, q, 4, "chebyshev").collect()
+    finally:
+        del K.SPACES["chebyshev"]
+    x = np.array([np.float32(v) for _, v in rows], float)
+    for who in (0, 1, 2):
+        at = next(n for n, (i, _) in enumerate(rows) if i == who)
+        far = np.abs(x - x[at]).max(1)
+        want = sorted(zip(far.tolist(), (i for i, _ in rows), strict=True))[:4]
+        mine = sorted((r["rank"], r["distance"], r["id"]) for r in got if r["query_id"] == who)
+        assert [i for _, _, i in mine] == [i for _, i in want] and np.allclose([d for _, d, _ in mine], [d for d, _ in want], atol=1e-6)
+    with pytest.raises(ValueError):
+        search.knn_join(df, q, 4, "chebyshev")
+
+
 @pytest.mark.parametrize("config", [Forest(2, 4), CellTree(3, 4), Graph(4)])
 def test_small_and_equal_items(spark, config):
     q = spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, vector array<double>")
