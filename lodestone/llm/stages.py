@@ -59,8 +59,10 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     repeated, one stays, that of the smallest hash of all its columns."""
     members = checkpoint(near_duplicates(carried(docs)))
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
-    heads = members.groupBy("component").agg(F.min(place).alias("head"))
-    headed = checkpoint(members.join(heads, "component").select("doc_id", "text_hash", "times", (place == F.col("head")).alias("stays")))
+    heads = members.groupBy("component").agg(F.min(place).alias("head")).select(F.col("head.doc_id").alias("_head_id"), F.col("head.text_hash").alias("_head_hash"))
+    # Met by document and not by component, so that no component's members come together in one task.
+    is_head = F.col("doc_id").eqNullSafe(F.col("_head_id")) & (F.col("text_hash") == F.col("_head_hash"))
+    headed = checkpoint(members.join(heads, is_head, "left").select("doc_id", "text_hash", "times", F.col("_head_hash").isNotNull().alias("stays")))
     lost = checkpoint(headed.where(~F.col("stays")).select("doc_id", "text_hash"))
     many = checkpoint(headed.where(F.col("stays") & (F.col("times") > 1)).select(F.col("doc_id").alias("_many_id"), F.col("text_hash").alias("_many_hash")))
     kept = without(docs, lost)
