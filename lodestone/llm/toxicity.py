@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +14,14 @@ from pyspark.sql import types as T
 from lodestone.llm.common import broadcast_below, checkpoint, read_table
 from lodestone.llm.textcodes import chunks, code_points, mix64
 
-DISCOUNT = 0.75
+DISCOUNT = 0.9
 #: Letters at the head of a word that stand for it in the class's own lower-order model.
 STEM = 5
-#: Entries whose counts say less than this about the class (likelihood ratio statistic) are pruned from both models,
-#: which then share the backoff probability there.
-PRUNE = 16.0
-#: So are entries that favour a class by less than this log ratio, such as words of a language that has more toxic texts.
-LEAST_RATIO = 1.0
-#: Log ratios are broadcast, as sorted keys of 64 bits beside weights, up to this many entries (48 MB), and joined beyond.
+#: Entries whose counts say less than this about the class (likelihood ratio statistic) could be pruned from both models,
+#: as could those that favour a class by less than LEAST_RATIO; nothing is.
+PRUNE = 0.0
+LEAST_RATIO = 0.0
+#: Log ratios are broadcast, as sorted keys of 64 bits beside weights, up to this many entries (64 MB), and joined beyond.
 MODEL_ROWS = 4_000_000
 #: Labelled doc_ids, those of the smallest checksums, that fit the three numbers that turn ratios into a probability.
 CALIBRATION_ROWS = 20_000
@@ -99,44 +99,61 @@ def count_types(labelled: DataFrame) -> DataFrame:
 def weigh(types: DataFrame, prune: float = PRUNE, least_ratio: float = LEAST_RATIO) -> tuple[DataFrame, DataFrame]:
     """(key, w) of words, and of stems for words without an entry: log of toxic over ordinary probability.
 
-    Entries of less than `prune` or `least_ratio` are left to the backoff that both classes share, so they add the same to
-    both log-likelihoods of a text and nothing to their difference; with 0 for both, every word and stem has an entry.
+    Every word and stem has an entry. Only a caller that sets `prune` or `least_ratio` above 0 leaves entries of less to
+    the backoff that both classes share, so they add the same to both log-likelihoods of a text.
+    """
+    return class_models(types, prune, least_ratio)[:2]
+
+
+def class_models(types: DataFrame, prune: float = PRUNE, least_ratio: float = LEAST_RATIO) -> tuple[DataFrame, DataFrame, tuple[float, float]]:
+    """What weigh gives, and the log ratios of the backoff: of a new word, beside its stem's, and of a new stem.
 
     In each class a word's discounted share backs off to the class's share of its stem times the word's shared share
-    of the stem; a stem's discounted share backs off to what both classes share, the different words that have it.
+    of the stem; a stem's discounted share backs off to what both classes share, the different words that have it. So a
+    new word has the share that its class discounts, times its stem's; a new stem what the class discounts of both. Where
+    entries are pruned they can't be told from new ones, and both ratios are 0.
     """
     stems = checkpoint(types.groupBy("stem").agg(F.sum("t").alias("st"), F.sum("o").alias("so"), F.count("*").alias("words")))
     w = types.agg(F.sum("t"), F.sum("o"), F.count(F.when(F.col("t") > 0, 1)), F.count(F.when(F.col("o") > 0, 1))).first()
     s = stems.agg(F.count(F.when(F.col("st") > 0, 1)), F.count(F.when(F.col("so") > 0, 1)), F.sum("words")).first()
     if not w[0] or not w[1]:
         empty = types.where("false").select(F.lit(0).cast("bigint").alias("key"), F.lit(0.0).alias("w"))
-        return empty, empty
+        return empty, empty, (0.0, 0.0)
     share = lambda c, n, left, lower: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / float(n) + left * lower
     spread = F.col("words") / float(s[2])
     stems = stems.select("stem", "st", "so", (F.col("st") + F.col("so")).alias("n"), share("st", w[0], DISCOUNT * s[0] / w[0], spread).alias("pt"), share("so", w[1], DISCOUNT * s[1] / w[1], spread).alias("po"))
     tox = w[0] / (w[0] + w[1])
 
     def telling(t: Column, o: Column) -> Column:
+        if prune <= 0:
+            return F.lit(True)
         part = lambda x, p: F.when(x > 0, x * F.log(x / ((t + o) * p))).otherwise(F.lit(0.0))
         return 2 * (part(t, tox) + part(o, 1 - tox)) >= prune
 
-    wide = types.where(telling(F.col("t"), F.col("o"))).join(stems, "stem")
+    wide = types.where(telling(F.col("t"), F.col("o"))).join(broadcast_below(stems), "stem")
     part = (F.col("t") + F.col("o")) / F.col("n")
     ratio = F.log(share("t", w[0], DISCOUNT * w[2] / w[0], F.col("pt") * part)) - F.log(share("o", w[1], DISCOUNT * w[3] / w[1], F.col("po") * part))
     stems = stems.where(telling(F.col("st"), F.col("so")))
     entries = lambda df, c, x: df.select(F.col(c).alias("key"), x.alias("w")).where(F.abs("w") >= least_ratio)
-    return entries(wide, "word", ratio), entries(stems, "stem", F.log("pt") - F.log("po"))
+    word = log((w[2] / w[0]) / (w[3] / w[1]))
+    new = (word, word + log((s[0] / w[0]) / (s[1] / w[1]))) if prune <= 0 and least_ratio <= 0 else (0.0, 0.0)
+    return entries(wide, "word", ratio), entries(stems, "stem", F.log("pt") - F.log("po")), new
 
 
 class Model:
-    """Weights of words and stems, tables of (key, w): broadcast while they are few, else kept to be joined."""
+    """Weights of words and stems, tables of (key, w): broadcast while they are few, else kept to be joined.
+
+    new: what class_models gives for words and stems without an entry.
+    """
 
-    def __init__(self, words: DataFrame, stems: DataFrame):
-        self.tables = [checkpoint(words), checkpoint(stems)]
-        self.arrays = None
+    def __init__(self, words: DataFrame, stems: DataFrame, new: tuple[float, float] = (0.0, 0.0)):
+        self.tables, self.arrays, self.new = [words, stems], None, new
         if sum(t.count() for t in self.tables) <= MODEL_ROWS:
-            found = [t.orderBy("key").toArrow() for t in self.tables]
-            self.arrays = words.sparkSession.sparkContext.broadcast([(f["key"].to_numpy(), f["w"].to_numpy()) for f in found])
+            found = [(f["key"].to_numpy(), f["w"].to_numpy()) for f in (t.toArrow() for t in self.tables)]
+            orders = [np.argsort(keys) for keys, _ in found]
+            self.arrays = words.sparkSession.sparkContext.broadcast([(k[o], w[o]) for (k, w), o in zip(found, orders, strict=True)])
+        else:
+            self.tables = [checkpoint(t) for t in self.tables]
 
 
 def look_up(keys: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -169,17 +186,19 @@ def joined_ratio(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     words, stems = (t.select(F.col("key").alias(c), F.col("w").alias(f"w_{c}")) for t, c in zip(model.tables, ("word", "stem"), strict=True))
     rows = rows.join(words, "word", "left").join(stems, "stem", "left")
     # Equal texts were counted together; their share of the weights is that of one.
-    w = F.sum(F.coalesce("w_word", "w_stem", F.lit(0.0)) * F.col("n"))
-    sums = rows.groupBy("_h").agg(w.alias("total"), F.sum("n").alias("all"))
+    w = F.coalesce(F.col("w_word"), F.col("w_stem") + model.new[0], F.lit(model.new[1]))
+    sums = rows.groupBy("_h").agg(F.sum(w * F.col("n")).alias("total"), F.sum(F.exp(w) * F.col("n")).alias("odds"), F.sum("n").alias("all"))
     times = hashed.groupBy("_h").agg(F.count("*").alias("times"))
-    sums = checkpoint(sums.join(times, "_h").select(F.col("_h").alias("_k"), (F.col("total") / F.col("times")).alias("_total"), (F.col("all") / F.col("times")).alias("_n")))
+    sums = checkpoint(sums.join(times, "_h").select(F.col("_h").alias("_k"), (F.col("total") / F.col("times")).alias("_total"), (F.col("all") / F.col("times")).alias("_n"), F.log(F.col("odds") / F.col("all")).alias("_e")))
     over = lambda x: F.coalesce(F.col("_total") / x, F.lit(0.0))
-    return hashed.join(sums, F.col("_h") == F.col("_k"), "left").select(*keep, over(F.col("_n")).alias("x"), over(F.sqrt("_n")).alias("r"))
+    return hashed.join(sums, F.col("_h") == F.col("_k"), "left").select(*keep, over(F.col("_n")).alias("x"), over(F.sqrt("_n")).alias("r"), F.coalesce("_e", F.lit(0.0)).alias("e"))
 
 
 def mean_ratio(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns of `keep`, and the sum of a text's log ratios over its words (x) and over their root (r); 0 without any."""
-    arrays = model.arrays
+    """The columns of `keep`, and of the log ratios of all words of a text the mean, which is the difference of the text's
+    log-likelihoods by both classes, each divided by its length (x), the sum over the root of the length (r), and the log
+    of the mean ratio (e); 0 without any word."""
+    arrays, (new_word, new_stem) = model.arrays, model.new
     if arrays is None:
         return joined_ratio(docs, model, keep)
 
@@ -190,16 +209,16 @@ def mean_ratio(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 word, stem, first = expressions(texts, table)
                 w = look_up(*words, word)
                 new = np.isnan(w)
-                w[new] = np.nan_to_num(look_up(*stems, stem[new]))
-                sums = np.concatenate([[0.0], np.cumsum(w, dtype=np.float64)])
+                w[new] = np.nan_to_num(look_up(*stems, stem[new]) + new_word, nan=new_stem)
                 n = np.diff(first)
-                total = np.diff(sums[first])
-                x, r = total / np.maximum(n, 1), total / np.sqrt(np.maximum(n, 1))
+                of, some = np.repeat(np.arange(len(n)), n), np.maximum(n, 1)
+                total, odds = (np.bincount(of, v, minlength=len(n)) for v in (w, np.exp(w)))
+                x, r, e = total / some, total / np.sqrt(some), np.log(np.where(n > 0, odds, 1.0) / some)
                 head = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*(head.column(i + 1) for i in range(len(keep))), pa.array(x), pa.array(r)], [*keep, "x", "r"])
+                yield pa.RecordBatch.from_arrays([*(head.column(i + 1) for i in range(len(keep))), pa.array(x), pa.array(r), pa.array(e)], [*keep, "x", "r", "e"])
 
     fields = [docs.schema[c] for c in keep]
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(score, T.StructType([*fields, T.StructField("x", T.DoubleType()), T.StructField("r", T.DoubleType())]))
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(score, T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in ("x", "r", "e"))]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
@@ -233,13 +252,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None
     tune = texts.where(fold == 1).select("doc_id", checksum(F.col("doc_id")).alias("c")).distinct()
     chosen = checkpoint(tune.orderBy("c", "doc_id").limit(CALIBRATION_ROWS).select("doc_id"))
     counted = texts.join(F.broadcast(chosen), "doc_id", "left_anti").select("text", (F.col("toxic") > 0).alias("toxic"))
-    model = Model(*weigh(checkpoint(count_types(counted))))
+    model = Model(*class_models(checkpoint(count_types(counted))))
     fit = mean_ratio(texts.join(F.broadcast(chosen), "doc_id", "left_semi"), model, ["toxic"]).toArrow()
-    x, y = np.column_stack([fit["x"].to_numpy(), fit["r"].to_numpy()]), (fit["toxic"].to_numpy() > 0).astype(float)
+    x, y = np.column_stack([fit["x"].to_numpy(), fit["e"].to_numpy()]), (fit["toxic"].to_numpy() > 0).astype(float)
     scored = mean_ratio(docs, model, list(keep))
     if len(y) and 0 < y.sum() < len(y):
-        by_mean, by_root, shift = logistic(x, y)
-        score = 1 / (1 + F.exp(-(F.col("x") * by_mean + F.col("r") * by_root + shift)))
+        by_mean, by_odds, shift = logistic(x, y)
+        score = 1 / (1 + F.exp(-(F.col("x") * by_mean + F.col("e") * by_odds + shift)))
     else:
         score = F.lit(0.0)
     return scored.select(*keep, (fold == 0).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))

@@ -368,6 +368,48 @@ def test_toxicity_weights(spark):
             assert want and {r["key"]: round(r["w"], 9) for r in got.collect()} == {name(w): round(x, 9) for w, x in want.items()}
 
 
+def test_toxicity_compares_whole_class_models(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    mild = [f"word{j}" for j in range(30)] + [f"{c}{j}" for j in range(20) for c in "xyz"]
+    rows = [(" ".join(rng.choice(["grumox", "vilexing", "vilexed"] if i % 5 == 0 and rng.random() < 0.2 else mild) for _ in range(30)), i % 5 == 0) for i in range(120)]
+    types = toxicity.count_types(spark.createDataFrame(rows, "text string, toxic boolean"))
+    before = collections.defaultdict(lambda: [set(), set()])
+    for t, toxic in rows:
+        for x, y in zip(["", *t.split()], t.split(), strict=False):
+            before[y][not toxic].add(x)
+    n = {w: [len(x) for x in v] for w, v in before.items()}
+    stems = collections.defaultdict(lambda: [0, 0, 0])
+    for w, v in n.items():
+        stems[w[:5]] = [a + b for a, b in zip(stems[w[:5]], [*v, 1], strict=True)]
+    assert [df.count() for df in toxicity.weigh(types)] == [len(n), len(stems)]  # nothing is left out
+
+    def likelihood(w, c):
+        """Of a word in a class; what both classes share of a new word or stem is left out."""
+        total, lost = sum(v[c] for v in n.values()), toxicity.DISCOUNT
+        rest, stem_rest = (lost * sum(v[c] > 0 for v in x.values()) / total for x in (n, stems))
+        if w[:5] not in stems:
+            return rest * stem_rest
+        s = stems[w[:5]]
+        of_stem = max(s[c] - lost, 0) / total + stem_rest * s[2] / len(n)
+        return max(n[w][c] - lost, 0) / total + rest * of_stem * sum(n[w]) / (s[0] + s[1]) if w in n else rest * of_stem
+
+    texts = ["word1 word2 grumox", "vilexes x3 word3", "unheard of, z7 z7", "", None, "vilexing " * 3 + "word4 " * 500, "word1 word2 grumox"]
+    want = []
+    for i, t in enumerate(texts):
+        w = re.findall(r"\w+", t or "")
+        both = [[likelihood(x, c) for x in w] for c in (0, 1)]
+        by_length = [sum(map(math.log, p)) / max(1, len(w)) for p in both]
+        odds = [a / b for a, b in zip(*both, strict=True)]
+        want.append((i, round(by_length[0] - by_length[1], 9), round(math.log(sum(odds) / len(w)) if w else 0.0, 9)))
+    for most in (toxicity.MODEL_ROWS, 0):
+        monkeypatch.setattr(toxicity, "MODEL_ROWS", most)
+        model = toxicity.Model(*toxicity.class_models(types))
+        got = toxicity.mean_ratio(table(spark, list(enumerate(texts))), model, ["doc_id"]).collect()
+        assert sorted((r["doc_id"], round(r["x"], 9), round(r["e"], 9)) for r in got) == want
+
+
 def test_chat(spark):
     rows = [(1, 2, "user", "<|end|> \\ \\\\ <s>[INST]"), (1, 1, "system", None), (1, 3, "assistant", "a<|sep|>\nb"), (1, 3, "assistant", "a<|sep|>\nb"), (2, None, None, "x"), (None, 1, "assistant", "é𝒳"), (3, 1, "<|start|>", "")]
     log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
