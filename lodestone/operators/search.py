@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.kernels import space
+from lodestone.operators.boxes import boxed_join
 
 #: A block of queries that is sent to every executor holds so many values at most: 32 MB of doubles.
 BLOCK_VALUES = 4_000_000
 #: Metrics that are measured by matrix products; those registered besides are measured by their expressions.
 BY_PRODUCTS = ("euclidean", "manhattan", "cosine", "cosine_distance")
+#: More queries than these, of so few dimensions, meet only the boxes of items that they reach.
+FEW_QUERIES, FEW_DIMENSIONS = 1000, 6
 
 
 def top_k(results: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -132,11 +135,16 @@ def knn_join(items: DataFrame, queries: DataFrame, k: int, metric: str = "euclid
     Blocks of queries of a bounded size go to the executors in turn. Each task meets batches of items by matrix products,
     keeps its own k best of each query, and only these are shuffled. Items without a vector, or with one of another
     dimension than the queries', are at no distance and are left out. A table in fewer parts than there are cores is
-    dealt out first. A metric of register_space is measured by its expression, block by block too.
+    dealt out first. A metric of register_space is measured by its expression, block by block too. Many queries of few
+    dimensions are joined by boxes in place of blocks (boxed_join).
     """
     space(metric)
     if k < 0:
         raise ValueError("k is negative")
+    if k and metric in ("euclidean", "manhattan"):
+        n, least, most = queries.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+        if n > FEW_QUERIES and 0 < least == most <= FEW_DIMENSIONS:
+            return top_k(boxed_join(items, queries, k, metric, most), k)
     sc, found = items.sparkSession.sparkContext, None
     items = items.select("id", "vector")
     if items.rdd.getNumPartitions() < sc.defaultParallelism:
