@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.kernels import space
-from lodestone.operators.boxes import boxed_join
+from lodestone.operators.boxes import boxed_join, groups, measured
 
 #: A block of queries that is sent to every executor holds so many values at most: 32 MB of doubles.
 BLOCK_VALUES = 4_000_000
@@ -18,6 +18,10 @@ BLOCK_VALUES = 4_000_000
 BY_PRODUCTS = ("euclidean", "manhattan", "cosine", "cosine_distance")
 #: More queries than these, of so few dimensions, meet only the boxes of items that they reach.
 FEW_QUERIES, FEW_DIMENSIONS = 1000, 6
+#: So many queries are measured by expressions in knn.
+HANDFUL = 8
+#: A task merges what it finds for so many queries at a time; for more, there are no more tasks than cores.
+MANY_QUERIES = 4096
 
 
 def top_k(results: DataFrame, k: int, by: str = "query_id") -> DataFrame:
@@ -28,18 +32,37 @@ def top_k(results: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of all queries, BLOCK_VALUES values at a time, however many there are."""
-    ids, rows, values = [], [], 0
-    for r in queries.select("query_id", "vector").toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        values += len(r[1])
-        if values >= BLOCK_VALUES:
-            yield np.array(ids), np.array(rows, float)
-            ids, rows, values = [], [], 0
-    if ids:
-        yield np.array(ids), np.array(rows, float)
+def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, vectors, and any further columns) of all queries, BLOCK_VALUES values at a time at most, however many there are.
+
+    Executors send packed arrays, many rows in one. One block comes in one job, more come partition by partition."""
+    n, least, most = queries.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if n and (least != most or least < 0):
+        raise ValueError("vectors of queries are missing or differ in size")
+    rows = max(1, BLOCK_VALUES // max(1, most or 0))
+    more = [c for c in queries.columns if c not in ("query_id", "vector")]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, rows) for i in range(0, len(whole), rows)):
+                longs = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for i in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([pa.array([longs], pa.list_(pa.binary())), pa.array([vectors(batch.column(1), most).tobytes()], pa.binary())], ["longs", "vectors"])
+
+    packed = queries.select("query_id", "vector", *more).mapInArrow(pack, "longs array<binary>, vectors binary")
+    found, held = [], 0
+    for r in packed.collect() if n <= rows else packed.toLocalIterator(prefetchPartitions=True):
+        longs = [np.frombuffer(c, np.int64) for c in r[0]]
+        if held and held + len(longs[0]) > rows:
+            yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+            found, held = [], 0
+        found.append((longs[0], np.frombuffer(r[1]).reshape(-1, most), *longs[1:]))
+        held += len(longs[0])
+    if found:
+        yield tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def vectors(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
 
 
 def distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -81,19 +104,21 @@ def knn_expression(items: DataFrame, queries: DataFrame, k: int, metric: str | C
 
 
 def pair_distances(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Distances of rows of q to the rows of x beside them, by differences."""
-    if metric == "euclidean":
-        return np.sqrt(((q - x) ** 2).sum(1))
-    if metric == "manhattan":
-        return np.abs(q - x).sum(1)
+    """Distances of rows of q to the rows of x beside them, summed in the order of dimensions, as the expressions sum them."""
+    if metric in ("euclidean", "manhattan"):
+        return measured(metric, q, x)
+    dot, qq, xx = (sum((a[:, i] * b[:, i] for i in range(q.shape[1])), np.zeros(len(q))) for a, b in ((q, x), (q, q), (x, x)))
     with np.errstate(divide="ignore", invalid="ignore"):
-        similar = (q * x).sum(1) / (np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)))
+        similar = dot / (np.sqrt(qq) * np.sqrt(xx))
     return similar if metric == "cosine" else 1 - similar
 
 
 class Best:
-    """The k nearest items that each query has met. A batch is measured by matrix products, and only items that may be
-    nearer than a query's k-th so far are measured again and merged."""
+    """The k nearest items that each query has met. Items are measured by matrix products, in single precision once each
+    query has k, and only those that may be nearer than a query's k-th so far, for all that rounding may do, are measured
+    again by pair_distances and merged."""
+
+    QUERIES, ITEMS, PAIRS = 256, 1024, 4096
 
     def __init__(self, metric: str, q: np.ndarray, k: int):
         self.metric, self.q, self.k = metric, q, k
@@ -101,32 +126,96 @@ class Best:
         self.limit = np.full(len(q), np.inf)
         self.norms = np.sqrt((q * q).sum(1))
 
-    def add(self, ids: np.ndarray, x: np.ndarray, block: int = 256) -> None:
-        reach = float(np.sqrt((x * x).sum(1)).max(initial=0.0))
-        found = []
-        for at in range(0, len(self.q), block):
-            part = slice(at, at + block)
-            d = np.nan_to_num(distances(self.metric, self.q[part], x), copy=False, nan=np.inf)
-            limit = self.limit[part]
-            open_ = np.flatnonzero(np.isinf(limit))
-            if len(open_) and len(ids) > self.k:
-                limit = limit.copy()
-                limit[open_] = np.partition(d[open_], self.k - 1, axis=1)[:, self.k - 1]
-            limit = limit + 1e-9 * np.abs(np.nan_to_num(limit, posinf=0.0)) + 1e-6 * (self.norms[part] + reach + 1e-3)
-            rows, cols = np.nonzero(d <= limit[:, None])
-            found.append((rows + at, cols))
-        rows, cols = (np.concatenate(c) for c in zip(*found, strict=True))
-        if not len(rows):
+    def _left(self, part: slice, kind: str) -> np.ndarray:
+        q = self.q[part]
+        if self.metric == "euclidean":
+            return np.append(q, np.ones((len(q), 1)), 1).astype(kind)
+        if self.metric == "manhattan":
+            return q.astype(kind)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (q / self.norms[part, None]).astype(kind)
+
+    def _right(self, x: np.ndarray, kind: str) -> np.ndarray:
+        """What _estimate meets, a column an item."""
+        if self.metric == "euclidean":  # d * d = |q|^2 + 2 * (|x|^2 / 2 - qx)
+            return np.append(-x, (x * x).sum(1)[:, None] / 2, 1).T.astype(kind, order="C")
+        if self.metric == "manhattan":
+            return x.T.astype(kind, order="C")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = x / np.sqrt((x * x).sum(1))[:, None]
+        return (x if self.metric == "cosine" else -x).T.astype(kind, order="C")
+
+    def _estimate(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Numbers that order a query's items as their distances do, but for rounding."""
+        if self.metric != "manhattan":
+            return left @ right
+        out = np.zeros((len(left), right.shape[1]), left.dtype)
+        one = np.empty_like(out)
+        for a, b in zip(left.T, right, strict=True):  # a dimension at a time: nothing larger than the result
+            np.subtract(a[:, None], b[None, :], out=one)
+            out += np.abs(one, out=one)
+        return out
+
+    def _bounds(self, reach: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each query's limit as _estimate has it, what rounding may add, and what the latter is to be small beside."""
+        dim, limit = self.q.shape[1], np.nan_to_num(self.limit, posinf=0.0)
+        off, scale = (dim + 16) * float(np.finfo(kind).eps), self.norms + reach
+        if self.metric == "euclidean":
+            return (self.limit**2 - self.norms**2) / 2, off * (scale**2 + limit**2), limit**2
+        if self.metric == "manhattan":
+            return self.limit, off * (np.sqrt(dim) * scale + limit), limit
+        return (self.limit if self.metric == "cosine" else self.limit - 1), np.full(len(self.q), 4 * off), np.ones(len(self.q))
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """The first items are met a few at a time, so that limits are near before most are met."""
+        at, step = 0, self.ITEMS if np.isinf(self.limit).any() else len(ids)
+        while at < len(ids):
+            self._add(ids[at : at + step], x[at : at + step])
+            at, step = at + step, 4 * step
+
+    def _add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        if not len(self.q):
             return
-        new = np.concatenate([pair_distances(self.metric, self.q[rows[i : i + 100_000]], x[cols[i : i + 100_000]]) for i in range(0, len(rows), 100_000)])
-        who, ids, d = np.concatenate([self.who, rows]), np.concatenate([self.ids, ids[cols]]), np.concatenate([self.d, new])
+        with np.errstate(over="ignore", invalid="ignore"):
+            reach = float(np.sqrt((x * x).sum(1)).max(initial=0.0))
+            open_ = np.isinf(self.limit)
+            _, off, beside = self._bounds(reach, "f4")
+            kind = "f4" if not open_.any() and self.norms.max() + reach < 1e15 and np.median(off) <= 1e-3 * np.median(beside) else "f8"
+            most, off, _ = self._bounds(reach, kind)
+        most = most + off
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        rights = [(j, self._right(x[j : j + self.ITEMS], kind)) for j in range(0, len(x), self.ITEMS)]
+        for i in range(0, len(self.q), self.QUERIES):
+            part = slice(i, i + self.QUERIES)
+            new, left = np.flatnonzero(open_[part]), self._left(part, kind)
+            for j, right in rights:
+                with np.errstate(over="ignore", invalid="ignore"):
+                    e = self._estimate(left, right)
+                    limit = most[part]
+                    if len(new):
+                        e = np.where(np.isnan(e), np.inf, e)
+                        limit = limit.copy()
+                        limit[new] = np.partition(e[new], self.k - 1, axis=1)[:, self.k - 1] + 2 * off[part][new] if e.shape[1] > self.k else np.inf
+                    flat = np.flatnonzero(e <= limit.astype(kind)[:, None])
+                rows, cols = np.divmod(flat, e.shape[1])
+                found.append((rows + i, cols + j))
+        rows, cols = (np.concatenate(c) for c in zip(*found, strict=True))
+        if len(rows):
+            d = np.concatenate([pair_distances(self.metric, self.q[rows[i : i + self.PAIRS]], x[cols[i : i + self.PAIRS]]) for i in range(0, len(rows), self.PAIRS)])
+            self._merge(rows, ids[cols], d)
+
+    def _merge(self, rows: np.ndarray, ids: np.ndarray, d: np.ndarray) -> None:
+        met = np.zeros(len(self.q), bool)
+        met[rows] = True
+        old = met[self.who]
+        who, ids, d = np.concatenate([self.who[old], rows]), np.concatenate([self.ids[old], ids]), np.concatenate([self.d[old], d])
         order = np.lexsort((ids, d, who))
         who, ids, d = who[order], ids[order], d[order]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         last = who[rank == self.k - 1]
         self.limit[last] = np.nan_to_num(d[rank == self.k - 1], nan=np.inf)
         keep = rank < self.k
-        self.who, self.ids, self.d = who[keep], ids[keep], d[keep]
+        self.who, self.ids, self.d = (np.concatenate([a[~old], b[keep]]) for a, b in ((self.who, who), (self.ids, ids), (self.d, d)))
 
 
 def knn_join(items: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -145,32 +234,62 @@ def knn_join(items: DataFrame, queries: DataFrame, k: int, metric: str = "euclid
         n, least, most = queries.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
         if n > FEW_QUERIES and 0 < least == most <= FEW_DIMENSIONS:
             return top_k(boxed_join(items, queries, k, metric, most), k)
-    sc, found = items.sparkSession.sparkContext, None
-    items = items.select("id", "vector")
-    if items.rdd.getNumPartitions() < sc.defaultParallelism:
+    return top_k(_met(items, queries, k, metric), k)
+
+
+def _met(items: DataFrame, queries: DataFrame, k: int, metric: str, by: str | None = None, own: bool = False) -> DataFrame:
+    """(query_id, id, distance, by): each task's k best of every query, and of each value of the column `by` if there is one.
+
+    own: a query meets only the items of its own value of `by`. Of the values that a task meets it keeps some at a time.
+    """
+    spark, found = items.sparkSession, None
+    sc = spark.sparkContext
+    value = F.lit(0) if by is None else F.col(by)
+    items = items.select("id", "vector", value.cast("long").alias("by"))
+    items = items.where("by is not null") if own else items.fillna(-(2**63), "by")
+    queries = queries.select("query_id", "vector", *([F.col(by).cast("long").alias("by")] if own else []))
+    queries = queries.where("by is not null") if own else queries
+    n = items.rdd.getNumPartitions()
+    if n < sc.defaultParallelism:
         items = items.repartition(sc.defaultParallelism)
     for block in query_blocks(queries):
+        if len(block[0]) > MANY_QUERIES and n > sc.defaultParallelism:
+            items = items.coalesce(sc.defaultParallelism)  # each task finds and sends k of every query
         same = items.where(F.size("vector") == block[1].shape[1])
         if metric not in BY_PRODUCTS:
-            asked = pa.table({"query_id": block[0].astype(np.int64), "vector": list(block[1])})
-            part = knn_expression(same, items.sparkSession.createDataFrame(asked), k, metric).drop("rank")
+            asked = pa.table({"query_id": block[0], "vector": list(block[1]), **({"by": block[2]} if own else {})})
+            d = space(metric)(F.col("q_vector"), F.col("vector"))
+            some = F.broadcast(spark.createDataFrame(asked).withColumnRenamed("vector", "q_vector"))
+            pairs = same.join(some, "by") if own else same.crossJoin(some)
+            part = top_k(pairs.select("query_id", "id", d.alias("distance"), "by"), k, "query_id, by").drop("rank")
             found = part if found is None else found.unionByName(part)
             continue
         shared = sc.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, q = shared.value
-            best = Best(metric, q, k)
-            for batch in batches:
-                if len(batch) and k:
-                    best.add(batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().astype(float).reshape(len(batch), -1))
-            yield pa.RecordBatch.from_arrays([pa.array(qid[best.who]), pa.array(best.ids), pa.array(best.d)], ["query_id", "id", "distance"])
-
-        part = same.mapInArrow(search, "query_id long, id long, distance double")
+            qid, q, *which = shared.value
+            kept: dict[int, list[tuple[np.ndarray, Best]]] = {}
+
+            def answer(at: int) -> Iterator[pa.RecordBatch]:
+                for name, best in kept.pop(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(name[best.who]), pa.array(best.ids), pa.array(best.d), pa.array(np.full(len(best.d), at))], ["query_id", "id", "distance", "by"])
+
+            for batch in batches if k else ():
+                ids, x = batch.column(0).to_numpy(zero_copy_only=False), vectors(batch.column(1), q.shape[1])
+                for at, rows in groups(batch.column(2).to_numpy()):
+                    if at not in kept:
+                        mine = np.flatnonzero(which[0] == at) if own else np.arange(len(qid))
+                        kept[at] = [(qid[some], Best(metric, q[some], k)) for some in np.split(mine, range(MANY_QUERIES, len(mine), MANY_QUERIES))]
+                    for _, best in kept[at]:
+                        best.add(ids[rows], x[rows])
+                while len(kept) > 1 and sum(b.q.size + 3 * k * len(b.q) for value in kept.values() for _, b in value) > 2 * BLOCK_VALUES:
+                    yield from answer(next(iter(kept)))
+            while kept:
+                yield from answer(next(iter(kept)))
+
+        part = same.mapInArrow(search, "query_id long, id long, distance double, by long")
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = items.sparkSession.createDataFrame([], "query_id long, id long, distance double")
-    return top_k(found, k)
+    return spark.createDataFrame([], "query_id long, id long, distance double, by long") if found is None else found
 
 
 def search_one(items: DataFrame, query: list[float], k: int, metric: str = "euclidean") -> DataFrame:
@@ -179,17 +298,23 @@ def search_one(items: DataFrame, query: list[float], k: int, metric: str = "eucl
     return items.select("id", space(metric)(q, F.col("vector")).alias("distance")).orderBy("distance", "id").limit(k)
 
 
+def knn(items: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """(query_id, id, distance, rank): by expressions for a handful of queries, by knn_join for more: a pair costs
+    expressions microseconds, and matrix products nanoseconds."""
+    handful = queries.limit(HANDFUL + 1).count() <= HANDFUL
+    return knn_expression(items, queries, k, metric) if handful else knn_join(items, queries, k, metric)
+
+
 def search_partitions(items: DataFrame, queries: DataFrame, k: int, partitions: list, metric: str = "euclidean") -> DataFrame:
-    """As knn_expression, over some partitions; the predicate reaches the scan of a table laid out by partition_id."""
-    return knn_expression(items.where(F.col("partition_id").isin(*partitions)), queries, k, metric)
+    """As knn, over some partitions; the predicate reaches the scan of a table laid out by partition_id."""
+    return knn(items.where(F.col("partition_id").isin(*partitions)), queries, k, metric)
 
 
 def partitioned_top_k(items: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """The k best of each query in each partition, then the k best of these."""
-    d = space(metric)(F.col("q_vector"), F.col("vector"))
-    small = F.broadcast(queries.select("query_id", F.col("vector").alias("q_vector")))
-    scored = items.select("partition_id", "id", "vector").crossJoin(small).select("query_id", "partition_id", "id", d.alias("distance"))
-    return top_k(top_k(scored, k, "query_id, partition_id").drop("rank"), k)
+    space(metric)
+    each = top_k(_met(items, queries, k, metric, "partition_id"), k, "query_id, by")
+    return top_k(each.drop("rank", "by"), k)
 
 
 def rerank(candidates: DataFrame, items: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -199,6 +324,23 @@ def rerank(candidates: DataFrame, items: DataFrame, queries: DataFrame, k: int,
     return top_k(met.select("query_id", "id", space(metric)(F.col("q_vector"), F.col("vector")).alias("distance")), k)
 
 
+def rerank_by(items: DataFrame, queries: DataFrame, k: int, by: str, metric: str = "euclidean") -> DataFrame:
+    """As rerank, where a query's candidates are all items that have its value of a whole-number column `by`. The pairs,
+    which grow with the square of a value's rows, are met in blocks and never made into rows."""
+    space(metric)
+    return top_k(_met(items, queries, k, metric, by, own=True).drop("by"), k)
+
+
+def candidate_counts(items: DataFrame, queries: DataFrame, by: str) -> DataFrame:
+    """(query_id, n): how many different items have a value of `by` that a query has; queries without any are left out.
+
+    Queries of equal values have equal candidates, so the items are counted for each set of values, not for each query."""
+    asked = queries.where(F.col(by).isNotNull()).groupBy("query_id").agg(F.array_sort(F.collect_set(by)).alias("_values"))
+    sets = asked.select("_values").distinct().select("_values", F.explode("_values").alias(by))
+    n = items.select(by, "id").join(sets, by).groupBy("_values").agg(F.countDistinct("id").alias("n"))
+    return asked.join(n, "_values").select("query_id", "n")
+
+
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """(query_id, recall): share of a query's true neighbours that were found."""
     hit = truth.select("query_id", "id").join(found.select("query_id", "id").distinct().withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
