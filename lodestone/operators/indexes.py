@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.search import distances, nearest, query_blocks, top_k
+from lodestone.operators.search import distances, nearest, query_blocks
 
 PARTITION_ROWS = 100_000
 INDEX_SCHEMA = "partition_id int, n long, data binary"
@@ -168,6 +168,41 @@ class CellTree:
         return np.concatenate(seen) if seen else np.zeros(0, int)
 
 
+class Near:
+    """Distances of a query to rows of x, as a walk needs them: a look-up and a product for some rows at a time."""
+
+    def __init__(self, x: np.ndarray, metric: str):
+        self.metric, self.rows = metric, x
+        if metric == "euclidean":  # d * d = |q|^2 + 2 * (|x|^2 / 2 - qx)
+            self.rows = np.append(x, (x * x).sum(1)[:, None] / 2, 1)
+        elif metric != "manhattan":
+            with np.errstate(divide="ignore", invalid="ignore"):
+                self.rows = x / np.sqrt((x * x).sum(1))[:, None]
+
+    def ask(self, q: np.ndarray) -> Near:
+        """self, set on the query q."""
+        self.add = float(q @ q)
+        if self.metric == "euclidean":
+            self.q = np.append(-q, 1.0)
+        elif self.metric == "manhattan":
+            self.q = q
+        else:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                self.q = q / np.sqrt(self.add) if self.metric == "cosine" else -q / np.sqrt(self.add)
+        return self
+
+    def keys(self, some: list[int]) -> np.ndarray:
+        """Numbers that order rows as their distances do."""
+        rows = self.rows.take(some, 0)
+        return np.abs(rows - self.q).sum(1) if self.metric == "manhattan" else rows @ self.q
+
+    def distances(self, keys: list[float]) -> list[float]:
+        k = np.array(keys)
+        if self.metric == "euclidean":
+            return np.sqrt(np.maximum(2 * k + self.add, 0)).tolist()
+        return (1 + k if self.metric == "cosine_distance" else k).tolist()
+
+
 @dataclass
 class Graph:
     """A hierarchy of neighbour graphs: greedy descent, then a beam of width ef on the lowest level."""
@@ -195,16 +230,17 @@ class Graph:
             levels[0] = 0
         links: list[dict[int, dict[int, float]]] = [{} for _ in range(n)]
         entry, top = 0, 0
+        far = Near(x, metric)
         for v in range(n):
             for level in range(levels[v] + 1):
                 links[v][level] = {}
             if not v:
                 continue
-            at = entry
+            at, to = entry, far.ask(x[v])
             for level in range(top, levels[v], -1):
-                at = self._greedy(links, x, metric, x[v], at, level)
+                at = self._greedy(links, to, at, level)
             for level in range(min(top, levels[v]), -1, -1):
-                found = self._beam(links, x, metric, x[v], [at], level, self.ef_construction)
+                found = self._beam(links, to, at, level, self.ef_construction)
                 chosen = self._choose(links, x, metric, v, found, level)
                 for d, u in chosen:
                     links[v][level][u] = d
@@ -241,10 +277,10 @@ class Graph:
         return (kept + rest)[:most]
 
     @staticmethod
-    def _greedy(links, x, metric, q, at, level) -> int:
-        best = distances(metric, q[None], x[at][None])[0, 0]
+    def _greedy(links, to: Near, at: int, level: int) -> int:
+        best = to.keys([at])[0]
         while near := list(links[at].get(level, ())):
-            d = distances(metric, q[None], x[near])[0]
+            d = to.keys(near)
             i = int(d.argmin())
             if d[i] >= best:
                 break
@@ -252,29 +288,30 @@ class Graph:
         return at
 
     @staticmethod
-    def _beam(links, x, metric, q, entries, level, ef) -> list[tuple[float, int]]:
+    def _beam(links, to: Near, entry: int, level: int, ef: int) -> list[tuple[float, int]]:
         """The ef nearest vertices that the walk meets, ascending."""
-        d = distances(metric, q[None], x[entries])[0].tolist()
-        ahead = list(zip(d, entries, strict=True))
-        heapq.heapify(ahead)
-        kept = [(-a, u) for a, u in ahead]
-        heapq.heapify(kept)
-        seen = set(entries)
+        first = float(to.keys([entry])[0])
+        ahead, kept, seen, full = [(first, entry)], [(-first, entry)], {entry}, ef <= 1
         while ahead:
             a, at = heapq.heappop(ahead)
-            if len(kept) >= ef and a > -kept[0][0]:
+            if full and a > -kept[0][0]:
                 break
             near = [u for u in links[at].get(level, ()) if u not in seen]
             if not near:
                 continue
             seen.update(near)
-            for b, u in zip(distances(metric, q[None], x[near])[0].tolist(), near, strict=True):
-                if len(kept) < ef or b < -kept[0][0]:
+            worst = -kept[0][0]
+            for b, u in zip(to.keys(near).tolist(), near, strict=True):
+                if not full:
                     heapq.heappush(ahead, (b, u))
                     heapq.heappush(kept, (-b, u))
-                    if len(kept) > ef:
-                        heapq.heappop(kept)
-        return sorted((-a, u) for a, u in kept)
+                    full, worst = len(kept) >= ef, -kept[0][0]
+                elif b < worst:
+                    heapq.heappush(ahead, (b, u))
+                    heapq.heapreplace(kept, (-b, u))
+                    worst = -kept[0][0]
+        order = sorted((-a, u) for a, u in kept)
+        return list(zip(to.distances([a for a, _ in order]), [u for _, u in order], strict=True))
 
     def walk(self, s: dict) -> list[dict[int, list[int]]]:
         links: list[dict[int, list[int]]] = [{} for _ in s["levels"]]
@@ -286,11 +323,12 @@ class Graph:
         if not len(s["levels"]):
             return np.zeros(0, int)
         if "_links" not in s:
-            s["_links"] = self.walk(s)
+            s["_links"], s["_near"] = self.walk(s), Near(s["_x"], s["_metric"])
         at, top = (int(v) for v in s["entry"])
+        to = s["_near"].ask(q)
         for level in range(top, 0, -1):
-            at = self._greedy(s["_links"], s["_x"], s["_metric"], q, at, level)
-        return np.array([u for _, u in self._beam(s["_links"], s["_x"], s["_metric"], q, [at], 0, max(self.ef, k))], int)
+            at = self._greedy(s["_links"], to, at, level)
+        return np.array([u for _, u in self._beam(s["_links"], to, at, 0, max(self.ef, k))], int)
 
 
 KINDS = {"btree": Forest, "voronoi": CellTree, "hnsw": Graph}
@@ -329,7 +367,9 @@ class VectorIndex:
 
         def build(group: pd.DataFrame) -> pd.DataFrame:
             # Of an id that is there more than once, the smallest vector is taken in, whatever order rows come in.
-            group = group.assign(_by=group["vector"].map(tuple)).sort_values(["id", "_by"]).drop_duplicates("id")
+            if group["id"].duplicated().any():
+                group = group.assign(_by=group["vector"].map(tuple)).sort_values(["id", "_by"]).drop_duplicates("id")
+            group = group.sort_values("id")
             x = np.array(group["vector"].tolist(), float)
             part = int(group["partition_id"].iloc[0])
             arrays = config.build(x, metric, np.random.default_rng([seed, part & 0xFFFFFFFF]))
@@ -363,15 +403,16 @@ class VectorIndex:
                             some = config.candidates(s, q, k)
                             d = distances(metric, q[None], x[some])
                             best = nearest(d, ids[some], k)[0]
-                            out += [(name, int(ids[some[i]]), float(d[0, i]), part, len(some)) for i in best]
-                        yield pd.DataFrame(out, columns=["query_id", "id", "distance", "partition_id", "scanned"])
+                            out += [(name, int(ids[some[i]]), float(d[0, i]), 0 if at else len(some)) for at, i in enumerate(best)]
+                        yield pd.DataFrame(out, columns=["query_id", "id", "distance", "scanned"])
 
-            part = rows.select("partition_id", "data").mapInPandas(ask, "query_id long, id long, distance double, partition_id int, scanned long")
+            part = rows.select("partition_id", "data").mapInPandas(ask, "query_id long, id long, distance double, scanned long")
             found = part if found is None else found.unionByName(part)
         if found is None:
-            found = spark.createDataFrame([], "query_id long, id long, distance double, partition_id int, scanned long")
-        scanned = found.groupBy("query_id", "partition_id").agg(F.first("scanned").alias("s")).groupBy("query_id").agg(F.sum("s").alias("scanned"))
-        return top_k(found.select("query_id", "id", "distance"), k).join(scanned, "query_id")
+            found = spark.createDataFrame([], "query_id long, id long, distance double, scanned long")
+        # Both come of one pass: the first row of a partition's answer has what was measured for the query there.
+        both = found.selectExpr("query_id", "id", "distance", "row_number() over (partition by query_id order by distance, id) as rank", "sum(scanned) over (partition by query_id) as scanned")
+        return both.where(F.col("rank") <= k)
 
     def leaves(self) -> DataFrame:
         """(partition_id, tree, leaf, id) of a forest, or of the cells of a tree."""
