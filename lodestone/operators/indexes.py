@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.search import distances, nearest, query_blocks
 
-PARTITION_ROWS = 100_000
+PARTITION_ROWS = 10_000
 INDEX_SCHEMA = "partition_id int, n long, data binary"
 MAX_DEPTH = 64
 
@@ -363,7 +363,7 @@ class VectorIndex:
         good = items.where(F.size("vector") == size)
         if "partition_id" not in items.columns:
             n = max(1, -(-good.count() // partition_rows))
-            good = good.withColumn("partition_id", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+            good = good.withColumn("partition_id", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartitionById(n, "partition_id")
 
         def build(group: pd.DataFrame) -> pd.DataFrame:
             # Of an id that is there more than once, the smallest vector is taken in, whatever order rows come in.

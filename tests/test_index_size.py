@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators.indexes import Graph, VectorIndex
+from lodestone.operators.indexes import CellTree, Graph, VectorIndex
 
 
 def table(spark, n):
@@ -29,3 +29,10 @@ def test_walks_measure_as_the_metrics_do():
         keys = to.keys(list(range(50)))
         want = distances(metric, q[None], x)[0]
         assert np.allclose(to.distances(keys.tolist()), want) and (np.argsort(keys) == np.argsort(want)).all()
+
+
+def test_partitions_are_bounded_and_apart(spark):
+    rows = VectorIndex.fit(table(spark, 25_000), CellTree(4, 1000), 3).rows
+    at = rows.select("n", F.spark_partition_id().alias("task")).collect()
+    assert sum(r["n"] for r in at) == 25_000 and max(r["n"] for r in at) < 12_000
+    assert len({r["task"] for r in at}) == len(at) == 3
