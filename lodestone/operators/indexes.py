@@ -40,10 +40,12 @@ class Forest:
             raise ValueError("a forest needs a tree, and leaves an item")
 
     def build(self, x: np.ndarray, metric: str, rng: np.random.Generator) -> dict[str, np.ndarray]:
-        left, right, planes, leaf_of, leaves, roots = [], [], [], [], [], []
+        """A plane is kept as the two items that it lies between, so vectors are taken as an index keeps them."""
+        x = x.astype("f4").astype(float)
+        left, right, pairs, leaf_of, leaves, roots = [], [], [], [], [], []
 
         def node() -> int:
-            for a, v in ((left, -1), (right, -1), (planes, None), (leaf_of, -1)):
+            for a, v in ((left, -1), (right, -1), (pairs, (-1, -1)), (leaf_of, -1)):
                 a.append(v)
             return len(left) - 1
 
@@ -52,32 +54,53 @@ class Forest:
             todo = [(roots[-1], np.arange(len(x)), 0)]
             while todo:
                 at, rows, depth = todo.pop()
-                plane = self._plane(x, rows, rng) if depth < MAX_DEPTH and (len(rows) > self.max_leaf_items or not depth) else None
-                side = x[rows] @ plane[:-1] - plane[-1] > 0 if plane is not None else None
+                pair = self._pair(x, rows, rng) if depth < MAX_DEPTH and (len(rows) > self.max_leaf_items or not depth) else None
+                side = None
+                if pair is not None:
+                    a, b = x[pair]
+                    side = x[rows] @ (b - a) - (b - a) @ (a + b) / 2 > 0
                 if side is None or side.all() or not side.any():
                     leaf_of[at] = len(leaves)
                     leaves.append(rows)
                     continue
-                planes[at], left[at], right[at] = plane, node(), node()
+                pairs[at], left[at], right[at] = tuple(pair), node(), node()
                 todo += [(left[at], rows[~side], depth + 1), (right[at], rows[side], depth + 1)]
-        dim = x.shape[1] + 1
-        return {"roots": np.array(roots), "left": np.array(left), "right": np.array(right), "leaf_of": np.array(leaf_of), "planes": np.array([p if p is not None else np.zeros(dim) for p in planes]), "leaf_ends": np.cumsum([len(r) for r in leaves]), "leaf_rows": np.concatenate(leaves)}
+        small = lambda v: np.array(v, np.int32)
+        return {"roots": small(roots), "left": small(left), "right": small(right), "leaf_of": small(leaf_of), "pairs": small(pairs), "leaf_ends": np.cumsum([len(r) for r in leaves]), "leaf_rows": small(np.concatenate(leaves))}
 
     @staticmethod
-    def _plane(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
-        """Plane of two different items; None if no draw finds such."""
+    def _pair(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
+        """Two different items; None if no draw finds such."""
         if len(rows) < 2:
             return None
         for _ in range(8):
-            a, b = x[rng.choice(rows, 2, replace=False)]
-            if (a != b).any():
-                return np.append(b - a, (b - a) @ (a + b) / 2)
+            pair = rng.choice(rows, 2, replace=False)
+            if (x[pair[0]] != x[pair[1]]).any():
+                return pair
         return None
 
+    @staticmethod
+    def _planes(s: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each node, normals, offsets, lengths) of the planes, which indexes saved earlier have themselves."""
+        if "planes" in s:
+            inner = np.arange(len(s["planes"]))
+            normals, offsets = s["planes"][:, :-1], s["planes"][:, -1]
+        else:
+            inner = np.flatnonzero(s["pairs"][:, 0] >= 0)
+            a, b = s["_x"][s["pairs"][inner, 0]], s["_x"][s["pairs"][inner, 1]]
+            normals = b - a
+            offsets = np.einsum("ij,ij->i", normals, (a + b) / 2)
+        place = np.zeros(len(s["left"]), int)
+        place[inner] = np.arange(len(inner))
+        return place, normals, offsets, np.sqrt(np.einsum("ij,ij->i", normals, normals)) + 1e-12
+
     def candidates(self, s: dict, q: np.ndarray, k: int) -> np.ndarray:
         norm = math.sqrt(q @ q)
         margin = math.log(norm) / 10 if norm > 0 else -math.inf
         seen: list[np.ndarray] = []
+        if "_planes" not in s:
+            s["_planes"] = self._planes(s)
+        place, normals, offsets, lengths = s["_planes"]
         for root in s["roots"]:
             todo = [root]
             while todo:
@@ -87,8 +110,8 @@ class Forest:
                     end = s["leaf_ends"][leaf]
                     seen.append(s["leaf_rows"][s["leaf_ends"][leaf - 1] if leaf else 0 : end])
                     continue
-                n = s["planes"][at]
-                d = (q @ n[:-1] - n[-1]) / (math.sqrt(n[:-1] @ n[:-1]) + 1e-12)
+                n = place[at]
+                d = (q @ normals[n] - offsets[n]) / lengths[n]
                 near, far = (s["left"][at], s["right"][at]) if d <= 0 else (s["right"][at], s["left"][at])
                 todo += [far, near] if abs(d) <= margin else [near]
         found = list(dict.fromkeys(np.concatenate(seen).tolist()))

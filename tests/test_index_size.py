@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators.indexes import CellTree, Graph, VectorIndex
+from lodestone.operators.indexes import CellTree, Forest, Graph, VectorIndex
 
 
 def table(spark, n):
@@ -36,3 +36,12 @@ def test_partitions_are_bounded_and_apart(spark):
     at = rows.select("n", F.spark_partition_id().alias("task")).collect()
     assert sum(r["n"] for r in at) == 25_000 and max(r["n"] for r in at) < 12_000
     assert len({r["task"] for r in at}) == len(at) == 3
+
+
+def test_a_forest_keeps_no_planes():
+    x = np.random.default_rng(0).standard_normal((2000, 64))
+    forest = Forest(5, 32)
+    s = forest.build(x, "euclidean", np.random.default_rng(0))
+    assert sum(v.nbytes for v in s.values()) < 3 * 4 * 5 * 2000
+    s["_x"] = x.astype("f4").astype(float)
+    assert all(i in forest.candidates(s, s["_x"][i], 3) for i in range(0, 2000, 100))
